@@ -4,7 +4,7 @@ A text's size is its number of runs of bytes other than the space and the contro
 in code point order, null last, take the weights in turn. They share ``total`` times all sizes by weight; no
 source gets more than ``most`` times its own size, and what is over goes to the others by weight until none is
 above. A source's rate is its target over its size; each of its documents is emitted floor(rate) times, and
-once more if a number in [0, 1) drawn from md5 of the seed, doc_id and text's checksum is below the rate's
+once more if a number in [0, 1) drawn from md5 of the seed, doc_id and text's md5 is below the rate's
 fraction. So reruns agree and, as rates are at most ``most``, no document exceeds that many times its size.
 
 Null text has size 0; a null doc_id draws as the empty text. Sources of size 0 have target 0 and rate 0. Rows
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._shared import cut
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SMALL = 10_000
@@ -30,7 +32,7 @@ def word_count(text: Column) -> Column:
 
 def _draw(seed: str) -> Column:
     """A number in [0, 1) from the first 32 bits of an md5."""
-    key = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("string"))
+    key = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / 2.0**32
 
 
@@ -49,15 +51,15 @@ def ranked(sources: DataFrame) -> DataFrame:
 
 
 def source_targets(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0) -> DataFrame:
-    """source, source_size, weight, target; a row for each source, written to the checkpoint folder if that is set.
+    """source, source_size, weight, target; a row for each source, written to the shared folder.
 
     Each round gives all that is left to the sources below their limits by weight; those that reach it are
     set. The rounds end when none reaches it, with one small sum each.
     """
     sizes = docs.groupBy("source").agg(F.sum(word_count(F.col("text"))).alias("source_size"))
-    sizes = _cut(sizes)
+    sizes = cut(sizes)
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("place") % len(weights) + 1).cast("int"))
-    table = _cut(ranked(sizes).select("source", "source_size", weight.alias("weight"), (F.col("source_size") * float(most)).alias("limit")))
+    table = cut(ranked(sizes).select("source", "source_size", weight.alias("weight"), (F.col("source_size") * float(most)).alias("limit")))
     budget = table.agg(F.sum("source_size")).first()[0] or 0
     budget = min(total, most) * budget
     share = 0.0
@@ -72,11 +74,6 @@ def source_targets(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total:
     return table.select("source", "source_size", "weight", F.least(F.col("limit"), F.col("weight") * F.lit(float(share))).alias("target"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df, computed once: in the shared checkpoint folder, or kept by executors where none is set (tests)."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0, seed: str = "mix", small: int = SMALL) -> DataFrame:
     """docs with size, source_size, target, rate and copies."""
     targets = source_targets(docs, weights, total, most).withColumnRenamed("source", "__source")
@@ -124,6 +121,6 @@ WITH d AS (
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
 )
 SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN
-  CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(crc AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296e0 < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+  CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(t)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296e0 < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM r
 """

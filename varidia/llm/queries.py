@@ -5,6 +5,7 @@ from .chat import OP9_SQL, op9_chat
 from .htmltext import op10_htmltext
 from .langid import op6_langid
 from .mixing import OP8_SQL, op8_mixing
+from .neardup import op7_neardup
 from .packing import op1_packing
 from .phrases import op5_phrases
 from .quality import op4_quality
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_phrases": op5_phrases,
     "op6_langid": op6_langid,
+    "op7_neardup": op7_neardup,
     "op8_mixing": op8_mixing,
     "op9_chat": op9_chat,
     "op10_htmltext": op10_htmltext,
