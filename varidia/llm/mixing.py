@@ -108,14 +108,16 @@ WITH d AS (
          CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS weight,
          1.5e0 * (SELECT sum(source_size) FROM s) AS budget
   FROM s
+), p AS (
+  SELECT *, row_number() OVER (ORDER BY lim / weight, source NULLS LAST) AS k FROM w
 ), o AS (
-  SELECT *, coalesce(sum(lim) OVER (ORDER BY lim / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS lim_before,
-         sum(weight) OVER (ORDER BY lim / weight DESC, source DESC ROWS UNBOUNDED PRECEDING) AS weight_left
-  FROM w
+  SELECT *, coalesce(sum(lim) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS lim_before,
+         sum(weight) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS weight_left
+  FROM p
 ), share AS (
-  SELECT min((budget - lim_before) / weight_left) AS lam FROM o WHERE (budget - lim_before) / weight_left <= lim / weight
+  SELECT min_by((budget - lim_before) / weight_left, k) AS lam FROM o WHERE (budget - lim_before) / weight_left <= lim / weight
 ), g AS (
-  SELECT source, source_size, least(lim, weight * coalesce(lam, lim / weight)) AS target FROM o LEFT JOIN share ON true
+  SELECT source, source_size, least(lim, weight * coalesce(lam, lim / weight)) AS target FROM p LEFT JOIN share ON true
 ), r AS (
   SELECT d.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0e0 END AS rate
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
