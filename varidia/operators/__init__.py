@@ -1,0 +1 @@
+"""Relational operators on read counts, coding positions and diversities."""

@@ -1,0 +1 @@
+"""Whole analyses: reports, the derived inputs and the registered queries."""

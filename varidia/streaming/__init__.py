@@ -1,0 +1 @@
+"""The engine has batch operators only: its domain has no streams. This package is kept for streaming sources of read counts."""
