@@ -4,6 +4,7 @@ from .audio import op2_audio
 from .chat import OP9_SQL, op9_chat
 from .htmltext import op10_htmltext
 from .langid import op6_langid
+from .lmscore import op3_lmscore
 from .mixing import OP8_SQL, op8_mixing
 from .neardup import op7_neardup
 from .packing import op1_packing
@@ -13,6 +14,7 @@ from .quality import op4_quality
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_audio": op2_audio,
+    "op3_lmscore": op3_lmscore,
     "op4_quality": op4_quality,
     "op5_phrases": op5_phrases,
     "op6_langid": op6_langid,
