@@ -155,3 +155,19 @@ def test_query_agrees_with_sql(spark, name):
     value = lambda x: round(x, 7) + 0.0 if isinstance(x, float) and not math.isnan(x) else x
     rows = lambda it, names: sorted((repr([value(r[names.index(c)]) for c in order]) for r in it))
     assert rows((tuple(r) for r in df.collect()), df.columns) == rows(want.fetchall(), columns)
+
+
+def test_goldens_of_the_derived_inputs(spark):
+    """FIXTURES.md, section 3, at sf0.01."""
+    sf = "/root/testdata/sf0.01"
+    pi = {r["sample_id"]: r["pi"] for r in QUERIES["sample_pi"](spark, sf).collect()}
+    assert [pi[f"s{i}"] for i in range(5)] == pytest.approx([0.126663924, 0.120313092, 0.119181307, 0.120572586, 0.122880445], abs=1e-8)
+    rows = {(r["sample_id"], r["transcript_id"]): r for r in QUERIES["gene_report"](spark, sf).collect()}
+    for key, n, s, pin, pis, over in [
+        (("s0", "ctg0_A1"), 35.1928974, 6.8071026, 0.1588102, 0.1174544, 4), (("s0", "ctg0_A2"), 22.7896269, 4.2103731, 0.1630765, 0.1020055, 0),
+        (("s0", "ctg0_B1"), 23.7549699, 6.0168747, 0.1526728, 0.1753754, 4), (("s3", "ctg7_B1"), 24.6648400, 4.9200656, 0.1100369, 0.0793739, 3),
+    ]:
+        r = rows[key]
+        assert [r["N_sites"], r["S_sites"], r["piN"], r["piS"]] == pytest.approx([n, s, pin, pis], abs=1e-6)
+        assert r["transcript_len"] - r["transcript_len_no_overlap"] == over
+    assert sum(r["N_sites"] or 0 for r in rows.values()) == pytest.approx(8408.7546, abs=1e-3)
