@@ -7,6 +7,8 @@ than the operators'.
 from __future__ import annotations
 
 from collections.abc import Callable
+from tempfile import mkdtemp
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,13 +61,13 @@ def _sync_back(spark, sf) -> DataFrame:
     return readers.parse_sync(writers.to_sync(derived.pileup(spark, sf), derived.reference(spark, sf), samples), samples)
 
 
-def _text(spark, sf, name: str, lines: list[str]) -> str:
-    from tempfile import mkdtemp
-
-    path = f"{mkdtemp(prefix='varidia-')}/{name}"
-    with open(path, "w") as f:
-        f.write("\n".join(lines) + "\n")
-    return f"file://{path}"
+def _text(spark: SparkSession, lines: list[str]) -> str:
+    """A text file in the folder that driver and executors share."""
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or f"file://{mkdtemp(prefix='varidia-')}"
+    path = f"{folder}/text-{uuid4().hex}"
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    return path
 
 
 FASTA = [">c1 first contig", "ATGTTTTATG", "gg tgg", ">c2", "ACGTN"]
@@ -77,16 +79,16 @@ VCF = [
 
 
 def _fasta(spark, sf) -> DataFrame:
-    blocks, contigs = readers.read_fasta(spark, _text(spark, sf, "a.fasta", FASTA))
+    blocks, contigs = readers.read_fasta(spark, _text(spark, FASTA))
     return blocks.join(contigs, "contig").select("contig", "contig_ord", "length", "seq")
 
 
 def _gtf(spark, sf) -> DataFrame:
-    return readers.read_gtf(spark, _text(spark, sf, "a.gtf", GTF)).drop("exon_ord")
+    return readers.read_gtf(spark, _text(spark, GTF)).drop("exon_ord")
 
 
 def _vcf(spark, sf) -> DataFrame:
-    return readers.read_vcf(spark, _text(spark, sf, "a.vcf", VCF))
+    return readers.read_vcf(spark, _text(spark, VCF))
 
 
 STATS = ["sample_id", "contig", "transcript_id"]
