@@ -155,6 +155,18 @@ def test_lm_scores_equal_brute_force(spark, odd, none):
     assert lmscore.score_documents(none).count() == 0
 
 
+def test_word_numbers_equal_a_dictionary():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 5000):
+        words = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        if n > 20:
+            words[11:20] = words[10] ^ np.arange(1, 10, dtype=np.uint64)  # one place in the table
+        asked = np.concatenate((words, words ^ np.uint64(1 << 20), rng.integers(0, 1 << 64, 5000, dtype=np.uint64)))
+        place = {int(h): i for i, h in enumerate(words)}
+        want = [place.get(int(h), 6000 + int(h) % (lmscore.START - 6000)) for h in asked]
+        assert lmscore.Words(words, 6000).numbers(asked).tolist() == want
+
+
 # 4
 
 
@@ -328,7 +340,7 @@ def test_chat_reads_back(spark):
     bits = ["\\", "<|", "|>", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<|im_end|>\n", "<|im_next|>", "\\\\<|", "a", "é", "\n", ""]
     turns, want = [], {}
     for c in range(60):
-        rows = [(c, t, rng.choice(["user", "assistant", "sys\\n\ntem", "<|im_start|>"]), "".join(rng.choice(bits) for _ in range(rng.randrange(8)))) for t in range(rng.randrange(1, 7))]
+        rows = [(c, t, rng.choice(["user", "assistant", "sys\\n\ntem", "<|im_start|>", "\x00\x01\\\n\\"]), "".join(rng.choice(bits) for _ in range(rng.randrange(8)))) for t in range(rng.randrange(1, 7))]
         want[c] = [(r, x) for _, _, r, x in rows]
         turns += rows
     rng.shuffle(turns)

@@ -29,10 +29,14 @@ def escape(text: Column) -> Column:
     return out
 
 
-def unescape(text: Column) -> Column:
+def _unescape_controls(text: Column) -> Column:
     for c in CONTROL:
         text = F.replace(text, F.lit(f"{c[0]}\\{c[1:]}"), F.lit(c))
-    return F.replace(text, F.lit("\\\\"), F.lit("\\"))
+    return text
+
+
+def unescape(text: Column) -> Column:
+    return F.replace(_unescape_controls(text), F.lit("\\\\"), F.lit("\\"))
 
 
 def _escape_role(role: Column) -> Column:
@@ -40,9 +44,9 @@ def _escape_role(role: Column) -> Column:
 
 
 def _unescape_role(role: Column) -> Column:
-    # a newline is the only backslash n of an odd run; doubled backslashes are hidden while it is put back
-    hidden = F.replace(role, F.lit("\\\\"), F.lit("\x00\x01"))
-    return unescape(F.replace(F.replace(hidden, F.lit("\\n"), F.lit("\n")), F.lit("\x00\x01"), F.lit("\\\\")))
+    # between doubled backslashes, each backslash n is a newline
+    parts = F.transform(F.split(role, r"\\\\"), lambda p: _unescape_controls(F.replace(p, F.lit("\\n"), F.lit("\n"))))
+    return F.array_join(parts, "\\")
 
 
 def format_chat(turns: DataFrame) -> DataFrame:
