@@ -380,6 +380,14 @@ def test_wrappers_and_broken_pages(spark):
     assert htmltext.extract_text(got.limit(0)).count() == 0
 
 
+def test_sampled_pages_are_few_and_distinct(spark):
+    rows = [(k, "http://hot/", f"<p>{k % 40}</p>") for k in range(2000)] + [(None, None, "x"), (None, None, "x"), (1, "http://b/", ""), (2, "http://b/", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"key": F.lit("mine"), "host": F.lit("mine")})
+    for small in (0, 10):
+        got = [(r["host"], r["html"]) for r in htmltext.sampled_pages(df, 6, small).collect()]
+        assert len(set(got)) == len(got) == 7 and ("", "x") in got
+
+
 # pipeline
 
 

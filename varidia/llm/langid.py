@@ -24,6 +24,7 @@ from ._bytes import _LOWER, blocks
 from .quality import held_out
 
 WINDOW = 256
+SALTS = 64
 WIDTHS = (2, 3, 4)
 DIM, FILTERS = 8, 12
 UND = "und"
@@ -115,9 +116,12 @@ def train_langid(docs: DataFrame, per_lang: int = 700, windows_each: int = 4, fo
     ids = docs.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_l")).filter("_l is not null")
     if fold:
         ids = ids.filter(~held_out(F.col("_id"), *fold))
-    order = Window.partitionBy("_l").orderBy(F.xxhash64("_id"), "_id")
-    ids = ids.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_lang).drop("_n")
-    ids = ids.dropDuplicates(["_id"])
+    ids = ids.withColumn("_h", F.xxhash64("_id"))
+    # a language's ids are thinned in SALTS places before they meet in one
+    for by in (["_l", F.pmod("_h", F.lit(SALTS))], ["_l"]):
+        order = Window.partitionBy(*by).orderBy("_h", "_id")
+        ids = ids.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_lang).drop("_n")
+    ids = ids.groupBy("_id").agg(F.min("_l").alias("_l"))
     picked = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_t")).join(F.broadcast(ids), "_id").select("_t", "_l")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
