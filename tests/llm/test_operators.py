@@ -145,7 +145,7 @@ def test_lm_scores_equal_brute_force(spark, odd, none):
             s += math.log(one[x] / n) if v is None else math.log(two[v, x] / one[v]) if two[v, x] >= 2 else math.log(0.4 * one[x] / n)
         return s
 
-    for options in ({}, {"top": 0, "heavy": 0}, {"top": 500, "heavy": 20}):
+    for options in ({}, {"top": 0, "heavy": 0}, {"top": 500, "heavy": 20}, {"top": 500, "heavy": 0}):
         got = lmscore.score_documents(d, **options).collect()
         off = [r["doc_id"] for r in got if abs(r["log_score"] - score(words[r["doc_id"]])) > 1e-6]
         assert len(got) == len(words) and not off
@@ -163,8 +163,8 @@ def test_word_numbers_equal_a_dictionary():
             words[11:20] = words[10] ^ np.arange(1, 10, dtype=np.uint64)  # one place in the table
         asked = np.concatenate((words, words ^ np.uint64(1 << 20), rng.integers(0, 1 << 64, 5000, dtype=np.uint64)))
         place = {int(h): i for i, h in enumerate(words)}
-        want = [place.get(int(h), 6000 + int(h) % (lmscore.START - 6000)) for h in asked]
-        assert lmscore.Words(words, 6000).numbers(asked).tolist() == want
+        want = [place.get(int(h), lmscore.RARE + (int(h) >> 19)) for h in asked]
+        assert lmscore.Words(words).numbers(asked).tolist() == want
 
 
 # 4
