@@ -155,6 +155,17 @@ def test_lm_scores_equal_brute_force(spark, odd, none):
     assert lmscore.score_documents(none).count() == 0
 
 
+def test_frequent_words(spark):
+    counts = {(h * 0x9E3779B97F4A7C15 & (1 << 64) - 1) - (1 << 63): 1 + h % 7 + 50 * (h < 10) for h in range(3000)}
+    df = spark.createDataFrame(list(counts.items()), "h long, c long")
+    for top in (0, 5, 10, 200, 2999, 3000, 9999):
+        best, total = lmscore.frequent_words(df, top)
+        assert total == sum(counts.values()) and all(counts[h] == c for h, c in zip(best["h"], best["c"], strict=True))
+        assert top * 0.8 <= len(best) <= top or len(best) == 3000 <= top
+        assert (best["c"].head(10) > 50).all() and best["c"].is_monotonic_decreasing
+    assert lmscore.frequent_words(df.limit(0), 5)[1] == 1
+
+
 def test_word_numbers_equal_a_dictionary():
     rng = np.random.default_rng(2)
     for n in (0, 1, 5000):
