@@ -155,6 +155,22 @@ def test_lm_scores_equal_brute_force(spark, odd, none):
     assert lmscore.score_documents(none).count() == 0
 
 
+def test_lm_query_counts_pairs_that_occur_once(spark, tmp_path):
+    texts = {1: "a b c a b d", 2: "A b e", 3: "rare once", 4: "c", 5: "", 6: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in (tmp_path, SF):
+        words = {r["doc_id"]: (r["text"] or "").lower() for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+        words = {k: [w for w in re.split(r"[ \t\n\r\x0b\x0c]+", t) if w] for k, t in words.items()}
+        one, two = Counter(), Counter()
+        for w in words.values():
+            one.update(w)
+            two.update(zip(w, w[1:], strict=False))
+        n = sum(one.values())
+        want = {k: sum(math.log(two[p] / one[p[0]]) for p in zip(w, w[1:], strict=False)) + (math.log(one[w[0]] / n) if w else 0) for k, w in words.items()}
+        got = {r["doc_id"]: r["log_score"] for r in queries.QUERIES["op3_lmscore"](spark, str(folder)).collect()}
+        assert set(got) == set(want) and not [k for k in want if abs(got[k] - want[k]) > 1e-6]
+
+
 def test_frequent_words(spark):
     counts = {(h * 0x9E3779B97F4A7C15 & (1 << 64) - 1) - (1 << 63): 1 + h % 7 + 50 * (h < 10) for h in range(3000)}
     df = spark.createDataFrame(list(counts.items()), "h long, c long")
