@@ -407,6 +407,18 @@ def test_wrappers_and_broken_pages(spark):
     assert htmltext.extract_text(got.limit(0)).count() == 0
 
 
+def texts_of(spark, cases):
+    return {r["page_id"]: r["text"] for r in htmltext.extract_text(spark.createDataFrame(cases, "page_id long, url string, html string")).collect()}
+
+
+def test_headings_beside_a_long_container_stay(spark):
+    long = lambda k: "".join(f"<p>Part {k} {i}</p>" for i in range(30))
+    page = lambda k, tag: f"<html><body><nav>n</nav><{tag} class=page><h1>T{k}</h1><p class=lead>L{k}</p><div class=content>{long(k)}</div><p>End {k}</p></{tag}><footer>c</footer></body>"
+    got = texts_of(spark, [(k, f"http://{'ab'[k % 2]}/", page(k, ("article", "div")[k % 2])) for k in range(8)])
+    for k in range(8):
+        assert got[k] == "\n".join([f"T{k}", f"L{k}", *(f"Part {k} {i}" for i in range(30)), f"End {k}"])
+
+
 def test_sampled_pages_are_few_and_distinct(spark):
     rows = [(k, "http://hot/", f"<p>{k % 40}</p>") for k in range(2000)] + [(None, None, "x"), (None, None, "x"), (1, "http://b/", ""), (2, "http://b/", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"key": F.lit("mine"), "host": F.lit("mine")})
