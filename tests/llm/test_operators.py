@@ -419,6 +419,16 @@ def test_headings_beside_a_long_container_stay(spark):
         assert got[k] == "\n".join([f"T{k}", f"L{k}", *(f"Part {k} {i}" for i in range(30)), f"End {k}"])
 
 
+def test_each_layout_of_a_host_has_a_wrapper_from_all_pages(spark):
+    one = lambda k: f"<html><body><div class=top>Site</div><div class=a><p>A{k}</p></div></body>"
+    two = lambda k: f"<html><body><div class=top>Site</div><div class=b><h1>B{k}</h1><div class=x><p>B{k} x</p></div></div></body>"
+    late = lambda k: f"<html><body><div class=c><div class=d>{'Same' if k < 199 else 'Other'}</div><div class=e><p>C{k}</p></div></div></body>"
+    cases = [(k, "http://hot/", (one, two)[k % 2](k)) for k in range(40)] + [(100 + k, "http://c/", late(k)) for k in range(200)]
+    got = texts_of(spark, cases)
+    assert all(got[k] == (f"B{k}\nB{k} x" if k % 2 else f"A{k}") for k in range(40))
+    assert got[299] == "Other\nC199" and got[100] == "Same\nC0"  # one page of 200 shows that div.d varies
+
+
 def test_sampled_pages_are_few_and_distinct(spark):
     rows = [(k, "http://hot/", f"<p>{k % 40}</p>") for k in range(2000)] + [(None, None, "x"), (None, None, "x"), (1, "http://b/", ""), (2, "http://b/", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"key": F.lit("mine"), "host": F.lit("mine")})
