@@ -429,6 +429,19 @@ def test_each_layout_of_a_host_has_a_wrapper_from_all_pages(spark):
     assert got[299] == "Other\nC199" and got[100] == "Same\nC0"  # one page of 200 shows that div.d varies
 
 
+def test_words_and_forms_do_not_drop_content(spark):
+    article = lambda k: f"<body><article><div class='article-header'><h1>T{k}</h1></div><p>x{k}</p><div class='social share'>Tell a friend</div><section id=discussion>D{k}</section><div class=alert>W{k}</div><div class=ad>Buy {k}</div></article></body>"
+    story = lambda k: f"<body><div class=side>s{k}</div><div class=story><header><h1>T{k}</h1></header><p>x{k}</p><p>y{k}</p></div></body>"
+    form = lambda k: f"<body><form action=x><input><nav>n</nav><div class=f><h1>T{k}</h1><p>x{k}</p></div></form></body>"
+    search = lambda k: f"<body><form><p>Search here</p></form><div class=g><p>some more words {k}</p></div></body>"
+    got = texts_of(spark, [(4 * k + i, f"http://{i}/", f(k)) for k in range(3) for i, f in enumerate((article, story, form, search))])
+    for k in range(3):
+        assert got[4 * k] == f"T{k}\nx{k}\nD{k}\nW{k}"
+        assert got[4 * k + 1] == f"T{k}\nx{k}\ny{k}"
+        assert got[4 * k + 2] == f"T{k}\nx{k}"
+        assert got[4 * k + 3] == f"some more words {k}"
+
+
 def test_sampled_pages_are_few_and_distinct(spark):
     rows = [(k, "http://hot/", f"<p>{k % 40}</p>") for k in range(2000)] + [(None, None, "x"), (None, None, "x"), (1, "http://b/", ""), (2, "http://b/", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"key": F.lit("mine"), "host": F.lit("mine")})
