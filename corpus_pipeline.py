@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varidia.llm._shared import removed, written
-from varidia.llm.langid import UND, identify_language, train_langid
+from varidia.llm.langid import UND, has_letter, identify_language, train_langid
 from varidia.llm.mixing import mix_sources
 from varidia.llm.neardup import deduplicate
 from varidia.llm.packing import pack
 from varidia.llm.quality import score_quality, train_quality
 
+#: Least probability of the likeliest language: below it, all others together are likelier.
+FLOOR = 0.5
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labelled ones, scores below 0.3 go."""
@@ -24,8 +27,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, which have no language, go."""
-    return identify_language(docs, *train_langid(docs)).filter(F.col("lang_pred") != UND).select(*docs.columns)
+    """Documents without a letter go, and those in which no language has FLOOR of the network's probability.
+
+    Where no language can be learned, all documents with a letter stay.
+    """
+    net, langs = train_langid(docs)
+    if not langs:
+        return docs.filter(has_letter("text"))
+    return identify_language(docs, net, langs).filter((F.col("lang_pred") != UND) & (F.col("score") >= FLOOR)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

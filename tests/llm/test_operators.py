@@ -468,3 +468,28 @@ def test_pipeline_stages(spark):
             assert set(new) == set(classes.values()) and set(new.values()) == {1}
     rows = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in rows} == set(new)
+
+
+def test_language_stage_decides_by_score_and_passes_all_when_nothing_is_learned(spark, monkeypatch):
+    import corpus_pipeline
+
+    rows = [(k, f"some words {k}" if k % 4 else "12 . 34", None, "a", 9) for k in range(40)] + [(99, None, None, "a", 0)]
+    docs = spark.createDataFrame(rows, DOC)
+    held = docs.filter(langid.held_out(F.col("doc_id"), 3, 1)).withColumn("lang", F.lit("en"))
+    for df in (docs, held):
+        got = {r["doc_id"] for r in corpus_pipeline.language(spark, df, SF).collect()}
+        assert got and got == {r["doc_id"] for r in df.collect() if r["text"] and "words" in r["text"]}
+    scores = {0: ("en", 0.49), 1: ("en", 0.5), 2: ("en", 0.99), 3: (langid.UND, 0.0)}
+    monkeypatch.setattr(corpus_pipeline, "train_langid", lambda df: ({}, ["en", "de"]))
+    pick = lambda at: F.array(*(F.lit(scores[k][at]) for k in range(4)))[F.col("doc_id") % 4]
+    monkeypatch.setattr(corpus_pipeline, "identify_language", lambda df, net, langs: df.withColumns({"lang_pred": pick(0), "score": pick(1)}))
+    got = corpus_pipeline.language(spark, docs, SF)
+    assert got.columns == docs.columns and {r["doc_id"] for r in got.collect()} == {r[0] for r in rows if r[0] % 4 in (1, 2)}
+
+
+def test_language_stage_keeps_clean_documents(spark):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.01"
+    clean = spark.read.parquet(f"{folder}/documents.parquet").join(spark.read.parquet(f"{folder}/labels.parquet").filter("quality = 1").select("doc_id"), "doc_id")
+    assert corpus_pipeline.language(spark, clean, folder).count() == clean.count()

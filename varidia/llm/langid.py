@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import _LOWER, blocks
@@ -143,6 +143,10 @@ def train_langid(docs: DataFrame, per_lang: int = 700, windows_each: int = 4, fo
     return train_network(x, got["l"].map({k: i for i, k in enumerate(langs)}).to_numpy(), len(langs)), langs
 
 
+def has_letter(text: str) -> Column:
+    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+
+
 def identify_language(docs: DataFrame, net: dict, langs: list[str]) -> DataFrame:
     """docs with lang_pred and score (the mean probability of that language)."""
     if not langs:
@@ -164,7 +168,7 @@ def identify_language(docs: DataFrame, net: dict, langs: list[str]) -> DataFrame
             join = lambda a, t: np.concatenate(a) if a else np.zeros(0, t)
             yield pa.StructArray.from_arrays([pa.array(join(best, int), pa.int32()), pa.array(join(top, float), pa.float64())], fields=list(kind))
 
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    letter = has_letter("text")
     out = docs.withColumn("__p", predict("text"))
     return out.withColumns({
         "lang_pred": F.when(letter, F.element_at(F.array(*map(F.lit, langs)), F.col("__p.k") + 1)).otherwise(UND),
