@@ -312,6 +312,29 @@ def test_near_duplicates_equal_brute_force(spark, odd, none):
     assert neardup.deduplicate(none).count() == 0
 
 
+def test_repeated_lines_and_short_texts_share_keys(spark):
+    def pair_shares(a, b):
+        words = np.array([int.from_bytes(hashlib.md5(w.encode()).digest()[:8]) for w in a + b], np.uint64)
+        one, two = neardup.sketch_keys(words, np.array([0, len(a), len(a) + len(b)]))
+        return len(set(one[one != 0]) & set(two[two != 0]))
+
+    rng = random.Random(7)
+    made, short = {}, 0
+    for k in range(60):
+        base, line = [f"b{k}.{i}" for i in range(300)], [f"l{k}.{i}" for i in range(6)]
+        made[2 * k] = " ".join(base + line * 50)
+        line[3] = "other"
+        made[2 * k + 1] = " ".join(base + line * 50)
+    assert all(pair_shares(made[2 * k].split(), made[2 * k + 1].split()) for k in range(60))
+    want = plain_classes(made)
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in neardup.near_classes(df)[0].collect()} == want == {i: i - i % 2 for i in made}
+    for _ in range(4000):
+        w = [str(rng.random()) for _ in range(9)]
+        short += not pair_shares(w[:8], w)  # 4 of 5 k-mers in common
+    assert short == 0
+
+
 def test_blocks_of_large_buckets_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(neardup, "LOCAL", 6)
     texts = {r["doc_id"]: r["text"] for r in docs_of(spark).collect()}

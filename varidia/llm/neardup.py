@@ -4,8 +4,11 @@ Words are runs of non-space bytes in lower case; a text's k-mers are its runs of
 if fewer), each labelled with how often it occurred before. Each of SAMPLES hash functions takes the KEEP least
 labelled k-mers and keeps them in text order; a hash of that row is a key. Texts that share a key are
 candidates. Two texts are linked if the Jaccard index of their five-word shingles is 0.8 or more and an
-alignment within the band that a word edit similarity of 0.8 allows exists. Pairs at 0.8 share a key with
-probability 1 - (1 - 0.8**KEEP)**SAMPLES, 0.99999. Classes are the connected components of links.
+alignment within the band that a word edit similarity of 0.8 allows exists. So texts with moved blocks aren't linked.
+A text that repeats a k-mer has the keys of its distinct k-mers, without labels, besides; so pairs share keys by the
+very index that links ask for, however lines repeat. A text of SHORT distinct k-mers or fewer has MORE samples, as KEEP of few
+are shared less often (4 of 5 in common: 0.4, not 0.8**KEEP). Pairs at 0.8 share a key with probability
+1 - (1 - 0.8**KEEP)**SAMPLES or so, 0.99998 for any length. Classes are the connected components of links.
 
 Equal texts are one node. In each bucket (texts with one key), all are compared with its leader, the text that
 shares most keys with others; so a group of near copies, however large, costs a comparison a text. Buckets whose
@@ -36,6 +39,7 @@ from ._shared import cut, removed, written
 
 WORDS = 5
 KEEP = 3
+SHORT, MORE = 32, 8  # texts of SHORT distinct k-mers or fewer have MORE samples
 SAMPLES = 16
 SIMILARITY = 0.8
 LOCAL = 600  # texts of a bucket that one task compares with one another
@@ -73,17 +77,15 @@ def occurrences(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch_keys(words: np.ndarray, bounds: np.ndarray, samples: int = SAMPLES, keep: int = KEEP) -> np.ndarray:
-    """The keys of each text, a row each; texts without words have zeros."""
-    h, cuts = shingles(words, bounds)
-    out = np.zeros((len(bounds) - 1, samples), np.uint64)
+def _sampled(h: np.ndarray, label: np.ndarray, cuts: np.ndarray, rounds: range, keep: int) -> np.ndarray:
+    """The keys of texts by some of the hash functions, a row each; texts without k-mers have zeros."""
+    out = np.zeros((len(cuts) - 1, len(rounds)), np.uint64)
     full = np.flatnonzero(np.diff(cuts))
     if not len(full):
         return out
-    label = mix(h + occurrences(h, cuts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
     start, count = cuts[:-1][full], np.diff(cuts)[full]
     none = np.iinfo(np.int64).max
-    for r in range(samples):
+    for column, r in enumerate(rounds):
         y = mix(label ^ np.uint64(0xA0761D6478BD642F * (r + 1) & 0xFFFFFFFFFFFFFFFF))
         picked = np.full((len(full), keep), none, np.int64)
         for j in range(keep):
@@ -100,7 +102,26 @@ def sketch_keys(words: np.ndarray, bounds: np.ndarray, samples: int = SAMPLES, k
         for j in range(keep):
             part = np.where(picked[:, j] == none, np.uint64(0), h[np.minimum(picked[:, j], len(h) - 1)])
             key = mix(key * np.uint64(0xE7037ED1A0B428DB) + part)
-        out[full, r] = key
+        out[full, column] = key
+    return out
+
+
+def sketch_keys(words: np.ndarray, bounds: np.ndarray, samples: int = SAMPLES, keep: int = KEEP) -> np.ndarray:
+    """The keys of each text, a row each, zeros where it has none: of labelled k-mers, of distinct ones where they give others, and more of short texts."""
+    h, cuts = shingles(words, bounds)
+    occ = occurrences(h, cuts)
+    label = mix(h + occ.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    n = len(bounds) - 1
+    out = np.zeros((n, 2 * samples + MORE), np.uint64)
+    out[:, :samples] = _sampled(h, label, cuts, range(samples), keep)
+    owner = np.repeat(np.arange(n), np.diff(cuts))
+    distinct = np.bincount(owner[occ == 0], minlength=n)
+    for which, rounds, at in ((distinct < np.diff(cuts), range(samples), samples), ((distinct <= SHORT) & (distinct > 0), range(samples, samples + MORE), 2 * samples)):
+        some = np.flatnonzero(which)
+        mine = which[owner] & (occ == 0)
+        out[some, at : at + len(rounds)] = _sampled(h[mine], label[mine], np.concatenate(([0], np.cumsum(distinct[some]))), rounds, keep)
+    both = out[:, samples : 2 * samples]
+    both[both == out[:, :samples]] = 0
     return out
 
 
@@ -203,10 +224,10 @@ def node_of(text: Column) -> Column:
 def _keys(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for arr in parts:
         got = [sketch_keys(*token_hashes(data, offs)) for _, _, data, offs in blocks(arr)]
-        keys = np.concatenate(got) if got else np.zeros((0, SAMPLES), np.uint64)
-        some = keys.any(1)
-        offsets = np.concatenate(([0], np.cumsum(some * SAMPLES)))
-        yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[some].ravel().view(np.int64)))
+        keys = np.concatenate(got) if got else np.zeros((0, 1), np.uint64)
+        some = keys != 0
+        offsets = np.concatenate(([0], np.cumsum(some.sum(1))))
+        yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[some].view(np.int64)))
 
 
 @F.arrow_udf(T.BinaryType())
