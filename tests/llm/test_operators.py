@@ -268,11 +268,21 @@ def test_language_held_out_accuracy_and_edges(spark, odd, none):
 # 7
 
 
+def distance(a, b):
+    """Word edit distance by the plain table."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
 def plain_classes(texts):
-    sets = {}
-    for i, t in texts.items():
-        w = (t or "").lower().split()
-        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    """All pairs: linked if equal, or if the edit distance is a fifth of the longer text's words at most."""
+    words = {i: (t or "").lower().split() for i, t in texts.items()}
+    bags = {i: Counter(w) for i, w in words.items()}
     root = {i: i for i in texts}
 
     def find(x):
@@ -280,15 +290,26 @@ def plain_classes(texts):
             x = root[x]
         return x
 
-    ids = list(texts)
-    for i in ids:
-        for j in ids:
-            a, b = sets[i], sets[j]
-            common = len(a & b)
-            if i < j and ((texts[i] or "") == (texts[j] or "") or common and common >= 0.8 * (len(a) + len(b) - common)):
+    for i in texts:
+        for j in texts:
+            n = max(len(words[i]), len(words[j]))
+            near = i < j and n and 5 * (n - (bags[i] & bags[j]).total()) <= n and 5 * distance(words[i], words[j]) <= n
+            if i < j and (near or (texts[i] or "") == (texts[j] or "")):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
-    return {i: find(i) for i in ids}
+    return {i: find(i) for i in texts}
+
+
+def classes_of(df):
+    return {r["doc_id"]: r["class_id"] for r in neardup.near_classes(df)[0].collect()}
+
+
+def edits(rng, words, n, vocabulary):
+    w = list(words)
+    for _ in range(n):
+        at = rng.randrange(len(w) + 1)
+        w[at : at + rng.randrange(2)] = [rng.choice(vocabulary)] * rng.randrange(2)
+    return w
 
 
 def test_near_duplicates_equal_brute_force(spark, odd, none):
@@ -296,49 +317,87 @@ def test_near_duplicates_equal_brute_force(spark, odd, none):
     assert {r["doc_id"]: r["class_id"] for r in neardup.op7_neardup(spark, SF).collect()} == plain_classes(texts)
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(3000)]
-    base = [rng.choice(vocabulary) for _ in range(300)]
-    made = {}
-    for i in range(120):  # a group of near copies, at and below the threshold
-        w = list(base)
-        for _ in range(rng.randrange(0, 12)):
-            w[rng.randrange(300)] = rng.choice(vocabulary)
-        made[i] = " ".join(w)
+    base = [rng.choice(vocabulary) for _ in range(120)]
+    made = {i: " ".join(edits(rng, base, rng.randrange(0, 60), vocabulary)) for i in range(60)}  # at and below the limit
     df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
     want = plain_classes(made)
-    assert {r["doc_id"]: r["class_id"] for r in neardup.near_classes(df)[0].collect()} == want
+    assert 1 < len(set(want.values())) < 60
+    assert classes_of(df) == want
     assert sorted(r["doc_id"] for r in neardup.deduplicate(df).collect()) == sorted(set(want.values()))
     kept = neardup.deduplicate(odd)
     assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "5", "6"]
     assert neardup.deduplicate(none).count() == 0
 
 
-def test_repeated_lines_and_short_texts_share_keys(spark):
-    def pair_shares(a, b):
-        words = np.array([int.from_bytes(hashlib.md5(w.encode()).digest()[:8]) for w in a + b], np.uint64)
-        one, two = neardup.sketch_keys(words, np.array([0, len(a), len(a) + len(b)]))
-        return len(set(one[one != 0]) & set(two[two != 0]))
+def test_alignment_decides(spark):
+    """Edits of 5 to 15 % leave few five-word shingles; texts with the same word pairs in another order share all candidates' bounds."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    made, want = {}, {}
+    for k in range(60):
+        base = [rng.choice(vocabulary) for _ in range(200)]
+        made[3 * k], made[3 * k + 1] = " ".join(base), " ".join(edits(rng, base, (10, 20, 30)[k % 3], vocabulary))
+        made[3 * k + 2] = " ".join(base[60:120] + base[:60] + base[120:])  # a moved block: bigrams stay, alignment doesn't
+        want |= {3 * k: 3 * k, 3 * k + 1: 3 * k, 3 * k + 2: 3 * k + 2}
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    assert classes_of(df) == want
+
+
+def shared_keys(a, b):
+    words = np.array([int.from_bytes(hashlib.md5(str(w).encode()).digest()[:8]) for w in [*a, *b]], np.uint64)
+    owner, key = neardup.sketch_keys(words, np.array([0, len(a), len(a) + len(b)]))
+    return len(set(key[owner == 0].tolist()) & set(key[owner == 1].tolist()))
 
+
+def test_recall_of_keys():
     rng = random.Random(7)
-    made, short = {}, 0
-    for k in range(60):
+    lost = 0
+    for _ in range(3000):  # short pairs: all
+        a = [rng.randrange(300) for _ in range(rng.randrange(1, 25))]
+        b = edits(rng, a, rng.randrange(0, 6), range(300))
+        n = max(len(a), len(b))
+        lost += bool(b) and n <= neardup.SHORT and 5 * distance(a, b) <= n and not shared_keys(a, b)
+    assert lost == 0
+    for size in (30, 64, 65, 300):  # others, at an edit similarity of 0.85: 0.95 at least
+        lost = 0
+        for _ in range(200):
+            a = [rng.randrange(10**6) for _ in range(size)]
+            b = list(a)
+            for at in rng.sample(range(size), int(0.15 * size)):
+                b[at] = -1 - at
+            lost += not shared_keys(a, b)
+        assert lost <= 10
+
+
+def test_repeated_lines_share_keys(spark):
+    made = {}
+    for k in range(40):
         base, line = [f"b{k}.{i}" for i in range(300)], [f"l{k}.{i}" for i in range(6)]
         made[2 * k] = " ".join(base + line * 50)
         line[3] = "other"
         made[2 * k + 1] = " ".join(base + line * 50)
-    assert all(pair_shares(made[2 * k].split(), made[2 * k + 1].split()) for k in range(60))
-    want = plain_classes(made)
     df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
-    assert {r["doc_id"]: r["class_id"] for r in neardup.near_classes(df)[0].collect()} == want == {i: i - i % 2 for i in made}
-    for _ in range(4000):
-        w = [str(rng.random()) for _ in range(9)]
-        short += not pair_shares(w[:8], w)  # 4 of 5 k-mers in common
-    assert short == 0
+    assert classes_of(df) == {i: i - i % 2 for i in made}
 
 
-def test_blocks_of_large_buckets_lose_nothing(spark, monkeypatch):
+@pytest.mark.parametrize("blocks", (False, True))
+def test_large_buckets_lose_nothing(spark, monkeypatch, blocks):
+    """Many different texts around one passage, with some near copies: dealt out by rare word pairs, or all of it by blocks."""
     monkeypatch.setattr(neardup, "LOCAL", 6)
-    texts = {r["doc_id"]: r["text"] for r in docs_of(spark).collect()}
-    assert {r["doc_id"]: r["class_id"] for r in neardup.op7_neardup(spark, SF).collect()} == plain_classes(texts)
+    monkeypatch.setattr(neardup, "SAMPLES", 60)
+    if blocks:
+        monkeypatch.setattr(neardup, "_by_rare_pairs", lambda rows, words: rows.select("key", "node", "words"))
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(60)]
+    made = {}
+    for i in range(0, 80, 2):
+        own = [rng.choice("abcdefghij") + str(rng.randrange(400)) for _ in range(60)]
+        made[i] = " ".join(own[:30] + passage + own[30:])
+        made[i + 1] = " ".join(edits(rng, made[i].split(), rng.choice((8, 15, 40)), passage))
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    want = plain_classes(made)
+    assert 45 < len(set(want.values())) < 75
+    assert classes_of(df) == want
 
 
 def test_banded_distance():
@@ -349,14 +408,13 @@ def test_banded_distance():
         for _ in range(rng.randrange(0, 60)):
             at = rng.randrange(len(b) + 1)
             b[at : at + rng.randrange(2)] = [rng.randrange(30)] * rng.randrange(2)
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        most = rng.randrange(0, 80)
-        assert neardup.banded_distance(np.array(a, "<u4"), np.array(b, "<u4"), most) == (row[-1] if row[-1] <= most else None)
+        d, most = distance(a, b), rng.randrange(0, 80)
+        assert neardup.banded_distance(np.array(a, "<u4"), np.array(b, "<u4"), most) == (d if d <= most else None)
+    a = np.arange(60_000, dtype="<u4") % 9973  # long: three bands, and words that are rare and frequent
+    b = np.delete(a, [5, 30_000, 30_001, 59_000])
+    b[::3000] = 10**6
+    assert neardup.banded_distance(a, b, 12_000) == 4 + 20
+    assert neardup.banded_distance(a, a[::-1], 50) is None
 
 
 # 8, 9

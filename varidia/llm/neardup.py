@@ -1,22 +1,27 @@
 """Near-duplicate classes by order MinHash, with candidates verified by banded alignment.
 
-Words are runs of non-space bytes in lower case; a text's k-mers are its runs of five words (all of its words,
+Words are runs of non-space bytes in lower case; a text's k-mers are its runs of GRAM words (all of its words,
 if fewer), each labelled with how often it occurred before. Each of SAMPLES hash functions takes the KEEP least
 labelled k-mers and keeps them in text order; a hash of that row is a key. Texts that share a key are
-candidates. Two texts are linked if the Jaccard index of their five-word shingles is 0.8 or more and an
-alignment within the band that a word edit similarity of 0.8 allows exists. So texts with moved blocks aren't linked.
-A text that repeats a k-mer has the keys of its distinct k-mers, without labels, besides; so pairs share keys by the
-very index that links ask for, however lines repeat. A text of SHORT distinct k-mers or fewer has MORE samples, as KEEP of few
-are shared less often (4 of 5 in common: 0.4, not 0.8**KEEP). Pairs at 0.8 share a key with probability
-1 - (1 - 0.8**KEEP)**SAMPLES or so, 0.99998 for any length. Classes are the connected components of links.
+candidates. Two texts are linked if their word edit distance is at most a fifth of the longer one's words, an edit
+similarity of 0.8; the alignment alone decides. So texts with moved blocks aren't linked, and equal ones but for case and
+white space are. Classes are the connected components of links.
+
+Candidates: texts of MIDDLE words or fewer have twice the samples. Pairs of texts of SHORT words or fewer are found
+exactly: of two texts within d edits, the longer one of L words, one run of (L - d) / (d + 1) words is in both, so
+all runs of that many words are keys. Other pairs at a similarity of 0.85 share a key with probability 0.99, at 0.8 with
+0.93 or so (independent substitutions; the README has measured figures).
 
 Equal texts are one node. In each bucket (texts with one key), all are compared with its leader, the text that
 shares most keys with others; so a group of near copies, however large, costs a comparison a text. Buckets whose
-texts are then in one component are done. Of the others, one of LOCAL texts or fewer goes to one task, which
-counts the shingles that texts have in common and links all that are to be linked. A larger one is compared block
-by block, in as many tasks; one of more than HUGE texts is first split by its texts' other keys (two texts at 0.8
-that share a key share no other with probability 2e-5).
-So nothing is capped, and only rows of such mixed buckets are repeated. The driver sees only counts.
+texts are then in one component are done. Of the others, one of LOCAL texts and LOCAL_WORDS words or fewer goes to one task,
+which counts the labelled word pairs that texts have in common: two texts within d edits, the longer of L words, have
+L - 1 - 2 d at least. A larger bucket is dealt out anew by those word pairs: with all pairs ordered from rare to
+frequent, two such texts share one of their first ones, and texts that have but a frequent passage in common part.
+What is larger still is compared block by block, in as many tasks, without loss. So nothing is capped. The driver sees only counts.
+
+An alignment keeps a band of bits around the diagonal that widens up to the limit: its time is words times band
+over 64, its memory some 100 bytes a word and, for the 4096 most frequent words at most, a bit for each place.
 
 Null text counts as empty. Texts without words are only linked if equal. A null doc_id is allowed: it is the
 class id only of a class without others. Rows that repeat share a class. Other columns pass; one named like an
@@ -30,25 +35,26 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import blocks, mix, token_hashes
-from ._shared import cut, removed, written
+from ._shared import removed, written
 
-WORDS = 5
+GRAM = 2
 KEEP = 3
-SHORT, MORE = 32, 8  # texts of SHORT distinct k-mers or fewer have MORE samples
-SAMPLES = 16
+SAMPLES = 24
+MIDDLE = 64  # texts of so many words or fewer have twice the samples
+SHORT = 24  # pairs of texts of so many words or fewer are found by runs
 SIMILARITY = 0.8
 LOCAL = 600  # texts of a bucket that one task compares with one another
-HUGE = 20_000  # texts of a bucket that are split by their other keys first
+LOCAL_WORDS = 4_000_000  # and their words
 
 _COMBINE = np.array([pow(0xD6E8FEB86659FD93, j + 1, 1 << 64) for j in range(16)], np.uint64)
 
 
-def shingles(words: np.ndarray, bounds: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def shingles(words: np.ndarray, bounds: np.ndarray, k: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' k-word runs in order, and bounds; a shorter text has one of all its words."""
     n = np.diff(bounds)
     count = np.where(n > 0, np.maximum(n - k + 1, 1), 0)
@@ -67,7 +73,7 @@ def shingles(words: np.ndarray, bounds: np.ndarray, k: int = WORDS) -> tuple[np.
 def occurrences(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """How often each hash occurred before in its text."""
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    order = np.lexsort((h, owner))
+    order = np.argsort(h, kind="stable")
     new = np.ones(len(h), bool)
     new[1:] = (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])
     start = np.flatnonzero(new)
@@ -78,63 +84,97 @@ def occurrences(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _sampled(h: np.ndarray, label: np.ndarray, cuts: np.ndarray, rounds: range, keep: int) -> np.ndarray:
-    """The keys of texts by some of the hash functions, a row each; texts without k-mers have zeros."""
-    out = np.zeros((len(cuts) - 1, len(rounds)), np.uint64)
-    full = np.flatnonzero(np.diff(cuts))
-    if not len(full):
-        return out
-    start, count = cuts[:-1][full], np.diff(cuts)[full]
-    none = np.iinfo(np.int64).max
+    """The keys of texts, each with a k-mer at least, by some of the hash functions; a row each.
+
+    A hash function multiplies the labels, which are random numbers, by an odd one. Of each text, only k-mers below
+    a bound that some 4 * keep of them meet are sorted; where it happens to leave too few, all of them.
+    """
+    count = np.diff(cuts)
+    n = len(count)
+    owner = np.repeat(np.arange(n), count)
+    bound = np.where(count > 4 * keep, np.ldexp(np.minimum(1.0, 4 * keep / count), 63), 2.0**63).astype(np.uint64) * np.uint64(2) - np.uint64(1)
+    each = np.repeat(bound, count)
+    least = np.minimum(count, keep)
+    out = np.empty((n, len(rounds)), np.uint64)
     for column, r in enumerate(rounds):
-        y = mix(label ^ np.uint64(0xA0761D6478BD642F * (r + 1) & 0xFFFFFFFFFFFFFFFF))
-        picked = np.full((len(full), keep), none, np.int64)
+        y = label * (mix(np.array([r + 1], np.uint64)) | np.uint64(1))
+        hit = np.flatnonzero(y <= each)
+        few = np.bincount(owner[hit], minlength=n) < least
+        if few.any():
+            hit = np.flatnonzero((y <= each) | few[owner])
+        order = np.lexsort((y[hit], owner[hit]))
+        hit = hit[order]
+        text = owner[hit]
+        first = np.searchsorted(text, np.arange(n))
+        picked = np.sort(hit[np.arange(len(hit)) - first[text] < keep])  # in text order
+        place = np.arange(len(picked)) - np.repeat(np.cumsum(least) - least, least)
+        parts = np.zeros((n, keep), np.uint64)
+        parts[owner[picked], place] = h[picked]
+        key = np.full(n, np.uint64(r + 1))
         for j in range(keep):
-            least = np.minimum.reduceat(y, start)
-            hit = np.flatnonzero(y == np.repeat(least, count))
-            text = np.searchsorted(start, hit, side="right") - 1
-            first = np.append(True, text[1:] != text[:-1])
-            hit, text = hit[first], text[first]
-            open_ = count[text] > j
-            picked[text[open_], j] = hit[open_]
-            y[hit] = np.iinfo(np.uint64).max
-        picked.sort(1)  # text order
-        key = np.full(len(full), np.uint64(r + 1))
-        for j in range(keep):
-            part = np.where(picked[:, j] == none, np.uint64(0), h[np.minimum(picked[:, j], len(h) - 1)])
-            key = mix(key * np.uint64(0xE7037ED1A0B428DB) + part)
-        out[full, column] = key
+            key = mix(key * np.uint64(0xE7037ED1A0B428DB) + parts[:, j])
+        out[:, column] = key
     return out
 
 
-def sketch_keys(words: np.ndarray, bounds: np.ndarray, samples: int = SAMPLES, keep: int = KEEP) -> np.ndarray:
-    """The keys of each text, a row each, zeros where it has none: of labelled k-mers, of distinct ones where they give others, and more of short texts."""
-    h, cuts = shingles(words, bounds)
-    occ = occurrences(h, cuts)
-    label = mix(h + occ.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-    n = len(bounds) - 1
-    out = np.zeros((n, 2 * samples + MORE), np.uint64)
-    out[:, :samples] = _sampled(h, label, cuts, range(samples), keep)
-    owner = np.repeat(np.arange(n), np.diff(cuts))
-    distinct = np.bincount(owner[occ == 0], minlength=n)
-    for which, rounds, at in ((distinct < np.diff(cuts), range(samples), samples), ((distinct <= SHORT) & (distinct > 0), range(samples, samples + MORE), 2 * samples)):
-        some = np.flatnonzero(which)
-        mine = which[owner] & (occ == 0)
-        out[some, at : at + len(rounds)] = _sampled(h[mine], label[mine], np.concatenate(([0], np.cumsum(distinct[some]))), rounds, keep)
-    both = out[:, samples : 2 * samples]
-    both[both == out[:, :samples]] = 0
+def _some(words: np.ndarray, bounds: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words and bounds of some of the texts."""
+    n = np.diff(bounds)[texts]
+    cuts = np.concatenate(([0], np.cumsum(n)))
+    return words[np.arange(cuts[-1]) - np.repeat(cuts[:-1] - bounds[:-1][texts], n)], cuts
+
+
+def most_edits(n: int | np.ndarray, similarity: float = SIMILARITY):
+    """The edits that texts may be apart, the longer one of n words."""
+    return ((1 - similarity) * n + 1e-9) // 1
+
+
+def run_keys(words: np.ndarray, bounds: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) of short texts: for each length of the longer text of a pair, the runs of which one must be in both."""
+    n = np.diff(bounds)
+    owners, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for longer in range(1, SHORT + 1):
+        d = int(most_edits(longer, similarity))
+        texts = np.flatnonzero((n <= longer) & (n >= max(1, longer - d)))
+        if len(texts):
+            h, cuts = shingles(*_some(words, bounds, texts), -(-(longer - d) // (d + 1)))
+            owners.append(np.repeat(texts, np.diff(cuts)))
+            keys.append(mix(h + np.uint64(longer * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
+    return np.concatenate(owners), np.concatenate(keys)
+
+
+def sketch_keys(words: np.ndarray, bounds: np.ndarray, samples: int = SAMPLES, keep: int = KEEP) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) of all texts, in the order of the texts; a key may occur twice in one."""
+    n = np.diff(bounds)
+    owners, keys = ([x] for x in run_keys(words, bounds))
+    sampled = int(SHORT * SIMILARITY) < n  # others can only meet texts of SHORT words or fewer
+    for which, rounds in ((sampled, range(samples)), (sampled & (n <= MIDDLE), range(samples, 2 * samples))):
+        texts = np.flatnonzero(which)
+        if len(texts):
+            h, cuts = shingles(*_some(words, bounds, texts))
+            label = mix(h + occurrences(h, cuts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+            owners.append(np.repeat(texts, len(rounds)))
+            keys.append(_sampled(h, label, cuts, rounds, keep).ravel())
+    owner, key = np.concatenate(owners), np.concatenate(keys)
+    order = np.argsort(owner, kind="stable")
+    return owner[order], key[order]
+
+
+def grams(w: np.ndarray) -> np.ndarray:
+    """Distinct numbers of a text's labelled word pairs, sorted."""
+    h, cuts = shingles(w.astype(np.uint64), np.array([0, len(w)]))
+    out = mix(h + occurrences(h, cuts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    out.sort()
     return out
 
 
-def _unique_shingles(w: np.ndarray) -> np.ndarray:
-    return np.unique(shingles(w.astype(np.uint64), np.array([0, len(w)]))[0])
+def least_common(n, similarity: float = SIMILARITY):
+    """The labelled word pairs that texts within the limit have in common at least, the longer one of n words."""
+    return np.maximum(1, n - (GRAM - 1) - GRAM * most_edits(n, similarity))
 
 
 def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """The edit distance of two rows of words if it is ``most`` or less.
-
-    Equal ends are cut off. Few edits are found along furthest-reaching diagonals; more, by dynamic programming
-    over a band that doubles up to the one that ``most`` edits can reach.
-    """
+    """The edit distance of two rows of words if it is ``most`` or less."""
     n = min(len(a), len(b))
     same = a[:n] == b[:n]
     head = n if same.all() else int(same.argmin())
@@ -148,86 +188,90 @@ def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
         return None
     if not len(a) or not len(b):
         return max(len(a), len(b))
-    near = min(most, 24)
-    goal = len(b) - len(a)
-    stops: dict[int, np.ndarray] = {}
-
-    def slide(d: int, x: int) -> int:
-        """From word x of a on diagonal d, where the next unequal pair is."""
-        if d not in stops:
-            lo, hi = max(0, -d), min(len(a), len(b) - d)
-            stops[d] = np.append(np.flatnonzero(a[lo:hi] != b[lo + d : hi + d]) + lo, max(hi, lo))
-        s = stops[d]
-        i = s.searchsorted(x)
-        return max(x, int(s[i])) if i < len(s) else x
-
-    reach = {0: slide(0, 0)}
-    for e in range(near + 1):
-        if e:
-            last, reach = reach, {}
-            for d in range(-e, e + 1):
-                x = max(last.get(d, -9) + 1, last.get(d - 1, -9), last.get(d + 1, -9) + 1)
-                x = min(x, len(a), len(b) - d)
-                if x >= max(0, -d):
-                    reach[d] = slide(d, x)
-        if reach.get(goal, -1) >= len(a):
-            return e
-    band = 2 * near
-    while near < most:
-        band = min(band, most)
-        d = _band(a, b, band)
-        if d <= band or band == most:
-            return d if d <= most else None
-        band *= 2
-    return None
-
-
-def _band(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """The least cost of an alignment that stays within ``band`` of the diagonal."""
-    far = len(a) + len(b) + 1
-    width = 2 * band + 1
-    steps = np.arange(width)
-    padded = np.concatenate((np.full(band + 1, -1), b.astype(np.int64), np.full(len(a) + band + 1, -1)))
-    row = np.where(steps >= band, steps - band, far)  # cell j is column i + j - band of row i = 0
-    for i in range(1, len(a) + 1):
-        col = i - band + steps
-        here = padded[i : i + width]  # the word before column i + j - band
-        diag = row + (here != a[i - 1])
-        up = np.append(row[1:], far) + 1
-        new = np.minimum(diag, up)
-        new[col < 0] = far
-        new[col == 0] = i
-        new = np.minimum.accumulate(new - steps) + steps
-        row = np.where((col < 0) | (col > len(b)), far, new)
-    at = len(b) - len(a) + band
-    return int(row[at]) if 0 <= at < width else far
+    where: dict[int, list[int]] = {}
+    for i, w in enumerate(a.tolist()):
+        where.setdefault(w, []).append(i)
+    many = max(8, len(a) >> 12)
+    bits = {w: sum_of_bits(at) for w, at in where.items() if len(at) > many}
+    band = min(most, max(31, abs(len(a) - len(b))))
+    while True:
+        d = _band(where, bits, b.tolist(), len(a), band)
+        if d is not None or band >= most:
+            return d
+        band = min(most, 4 * band)
+
+
+def sum_of_bits(places: list[int]) -> int:
+    out = np.zeros(places[-1] + 1, np.uint8)
+    out[places] = 1
+    return int.from_bytes(np.packbits(out, bitorder="little").tobytes(), "little")
+
+
+def _band(where: dict[int, list[int]], bits: dict[int, int], b: list[int], n: int, band: int) -> int | None:
+    """The distance if it is ``band`` or less, by cells at most ``band`` from the diagonal.
+
+    Bit t stands for row j - band + t of column j, so the window moves down a row with each column. plus and minus
+    hold where a cell is one more or one less than the one above; level, where it equals its upper left neighbour.
+    The last cell is on the diagonal of one bit, along which values never fall. Rows above the first hold the column's number.
+    """
+    mask = (1 << 2 * band + 1) - 1
+    plus, minus = mask >> band << band, 0
+    goal = 1 << n - len(b) + band
+    score = max(n - len(b), 0)
+    for j, word in enumerate(b):
+        shift = j - band
+        at = where.get(word)
+        if at is None:
+            equal = 0
+        elif word in bits:
+            equal = (bits[word] >> shift if shift > 0 else bits[word] << -shift) & mask
+        else:
+            equal = 0
+            for i in at:
+                if 0 <= i - shift <= 2 * band:
+                    equal |= 1 << i - shift
+        level = (((equal & plus) + plus ^ plus) | equal | minus) & mask
+        if not level & goal:
+            score += 1
+            if score > band:
+                return None
+        right_more = minus | mask ^ (level | plus)
+        right_less = level & plus
+        level >>= 1
+        plus = right_less | mask ^ (level | right_more)
+        minus = level & right_more
+    return score
 
 
 def linked(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     """Whether two rows of word hashes are near duplicates."""
-    x, y = _unique_shingles(a), _unique_shingles(b)
-    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+    n = max(len(a), len(b))
+    most = int(most_edits(n, similarity))
+    if abs(len(a) - len(b)) > most:
         return False
-    both = np.concatenate((x, y))
+    both = np.concatenate((grams(a), grams(b)))
     both.sort()
-    common = int(np.count_nonzero(both[1:] == both[:-1]))
-    if common < similarity * (len(both) - common):
+    if np.count_nonzero(both[1:] == both[:-1]) < least_common(n, similarity):
         return False
-    return banded_distance(a, b, int((1 - similarity) * max(len(a), len(b)) + 1e-9)) is not None
+    return banded_distance(a, b, most) is not None
 
 
 def node_of(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
+@F.arrow_udf(T.StructType([T.StructField("words", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
 def _keys(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Each text's number of words and distinct keys."""
     for arr in parts:
-        got = [sketch_keys(*token_hashes(data, offs)) for _, _, data, offs in blocks(arr)]
-        keys = np.concatenate(got) if got else np.zeros((0, 1), np.uint64)
-        some = keys != 0
-        offsets = np.concatenate(([0], np.cumsum(some.sum(1))))
-        yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[some].view(np.int64)))
+        counts, lists = [np.zeros(0, np.int64)], []
+        for lo, hi, data, offs in blocks(arr, 1 << 20):
+            words, bounds = token_hashes(data, offs)
+            owner, key = sketch_keys(words, bounds)
+            at = np.searchsorted(owner, np.arange(hi - lo + 1))
+            counts.append(np.diff(bounds))
+            lists += [np.unique(key[x:y]).view(np.int64) for x, y in zip(at[:-1], at[1:], strict=True)]
+        yield pa.StructArray.from_arrays([pa.array(np.concatenate(counts), pa.int32()), pa.array(lists, pa.list_(pa.int64()))], ["words", "keys"])
 
 
 @F.arrow_udf(T.BinaryType())
@@ -248,32 +292,34 @@ def _linked(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         yield pa.array([linked(np.frombuffer(a.as_py(), "<u4"), np.frombuffer(b.as_py(), "<u4")) for a, b in zip(one, two, strict=True)], pa.bool_())
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node and root (the least node) of each connected component of links (a, b), by alternating stars."""
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    state = None
+def components(links: DataFrame) -> tuple[DataFrame, str]:
+    """node and root (the least node) of each connected component of links (a, b), by alternating stars, as a written table; and its path."""
+    spark = links.sparkSession
+    edges, path = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
     while True:
+        # done if no root has a root of its own and no node has two
+        open_ = edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").select("v").unionByName(edges.groupBy("u").count().filter("count > 1").select(F.col("u").alias("v")))
+        if open_.isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")), path
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u != v").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = cut(small.filter("u != v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = tuple(now)
+        ends = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = large.join(down, "u").select(F.explode(ends).alias("e")).select("e.*").filter("u != v").distinct()
+        last = path
+        edges, path = written(small, "edges")
+        removed(spark, last)
 
 
 def bucket_links(words: list[np.ndarray], joined: list[int], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Links that join all of a small bucket's texts that links join, by common shingles counted for all at once.
+    """Links that join all of a small bucket's texts that links join, by common word pairs counted for all at once.
 
     Texts with one number in ``joined`` are joined already.
     """
-    sets = [_unique_shingles(w) for w in words]
-    size = np.array([len(x) for x in sets])
-    owner = np.repeat(np.arange(len(sets)), size)
+    sets = [grams(w) for w in words]
+    n = np.array([len(w) for w in words])
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     value, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = times[column] > 1
     owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
@@ -286,7 +332,7 @@ def bucket_links(words: list[np.ndarray], joined: list[int], similarity: float =
         part = np.zeros((len(sets), min(1 << 14, total - lo)), np.float32)
         part[owner[a:b], column[a:b] - lo] = 1
         common += part @ part.T
-    near = common >= similarity * (size[:, None] + size[None] - common) - 1e-4
+    near = common >= least_common(np.maximum(n[:, None], n[None]), similarity) - 0.5
     first = {}
     root = [first.setdefault(g, i) for i, g in enumerate(joined)]
 
@@ -311,72 +357,105 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": [nodes[i] for i, _ in found], "b": [nodes[j] for _, j in found]})
 
 
-def _by_other_key(rows: DataFrame) -> DataFrame:
-    return rows.select("node", "key", F.explode("keys").alias("other")).filter("key != other").select("node", F.xxhash64("key", "other").alias("key")).distinct()
+def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node, words, first, gram) from (key, node, words, w): all labelled word pairs, and of how many the rarest ones must meet."""
+    for batch in batches:
+        for k in range(len(batch)):
+            one = batch.slice(k, 1)
+            w = np.frombuffer(one.column(3)[0].as_py(), "<u4")
+            g = grams(w)
+            first = len(g) - int(least_common(np.arange(len(w), len(w) / SIMILARITY + 1)).min()) + 1
+            again = pa.array(np.zeros(len(g), np.int32))
+            yield pa.RecordBatch.from_arrays([*(one.column(i).take(again) for i in range(3)), pa.array(np.full(len(g), first, np.int32)), pa.array(g.view(np.int64))], ["key", "node", "words", "first", "gram"])
+
+
+def _by_rare_pairs(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """Each bucket dealt out by its texts' rarest labelled word pairs, of which texts that are to be linked share one."""
+    rows = rows.select("key", "node", "words").join(words, "node").select("key", "node", "words", "w")
+    each = rows.mapInArrow(_gram_rows, "key bigint, node binary, words int, first int, gram bigint")
+    often = each.groupBy("key", "gram").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("key", "node").orderBy("n", "gram"))
+    some = each.join(often, ["key", "gram"]).withColumn("place", place).filter("place <= first and n > 1")
+    return some.select("node", "words", F.xxhash64("key", "gram").alias("key")).distinct()
 
 
 def _by_blocks(rows: DataFrame) -> DataFrame:
     """Each bucket as blocks of half of LOCAL, and a key for each pair of blocks."""
-    blocks_ = F.ceil(2 * F.col("n") / LOCAL).cast("int")
+    blocks_ = F.ceil(F.greatest(2 * F.col("n") / LOCAL, 2 * F.col("total") / LOCAL_WORDS)).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks_).cast("int")
-    rows = rows.select("node", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks_ - 1)).alias("with"))
-    return rows.select("node", F.xxhash64("key", F.least("own", "with"), F.greatest("own", "with")).alias("key"))
+    rows = rows.select("node", "words", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks_ - 1)).alias("with"))
+    return rows.select("node", "words", F.xxhash64("key", F.least("own", "with"), F.greatest("own", "with")).alias("key"))
 
 
-def _undecided(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Of rows (key, node): those of keys whose nodes are in several components, with root and the key's size."""
+def _undecided(rows: DataFrame, roots: DataFrame) -> tuple[DataFrame, str]:
+    """Of rows (key, node, words): those of keys whose nodes are in several components, with root and the key's texts and words; and the table's path."""
     rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    seen = rows.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("n")).filter("r1 != r2")
-    return cut(rows.join(seen.select("key", "n"), "key"))
+    seen = rows.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("n"), F.sum("words").alias("total")).filter("r1 != r2")
+    return written(rows.join(seen.select("key", "n", "total"), "key"), "open")
+
+
+def _fits() -> Column:
+    return (F.col("n") <= LOCAL) & (F.col("total") <= LOCAL_WORDS)
 
 
-def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Verified links (a, b) between nodes; docs has doc_id, text and node, nodes has node, rep and keys."""
-    keys = nodes.select("node", F.explode("keys").alias("key"))
-    rows = cut(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"))
+def _links(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, str]:
+    """Verified links (a, b) between nodes as a written table, and its path; docs has doc_id, text and node, nodes has node, rep, words and keys."""
+    spark = docs.sparkSession
+    temporary = []
+
+    def keep(table: tuple[DataFrame, str]) -> DataFrame:
+        temporary.append(table[1])
+        return table[0]
+
+    keys = nodes.select("node", "words", F.explode("keys").alias("key")).repartition("key")
+    rows = keep(written(keys.join(keys.groupBy("key").agg(F.count("*").alias("n"), F.max("words").alias("most"), F.max("node").alias("any")).filter("n > 1 and most >= 0 and any is not null").select("key", "n"), "key"), "keys"))
     wanted = rows.select("node").distinct().join(nodes.select("node", "rep"), "node")
     seqs = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"]) & (docs["node"] == wanted["node"]), "left_semi")
-    words, path = written(seqs.select("node", _packed("text").alias("w")), "words")
+    words = keep(written(seqs.select("node", _packed("text").alias("w")), "words"))
     # the text that shares most keys with others leads each of its buckets
     score = rows.groupBy("node").agg(F.sum("n").alias("score"))
     leader = rows.select("key", "node").join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node")).alias("m")).select("key", F.col("m.node").alias("leader"))
     pairs = rows.join(leader, "key").filter("node != leader").select(F.least("node", "leader").alias("node"), F.greatest("node", "leader").alias("leader")).distinct()
     one, two = words.withColumnRenamed("w", "wa"), words.select(F.col("node").alias("leader"), F.col("w").alias("wb"))
-    found = cut(pairs.join(one, "node").join(two, "leader").filter(_linked("wa", "wb")).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
-    roots = components(found)
-    large = _undecided(rows.select("key", "node"), roots)
-    small = large.filter(F.col("n") <= LOCAL)
-    huge = large.filter(F.col("n") > HUGE)
-    large = large.filter((F.col("n") > LOCAL) & (F.col("n") <= HUGE))
-    if not huge.isEmpty():
-        parts = _undecided(_by_other_key(huge.select("key", "node").join(nodes.select("node", "keys"), "node")), roots)
-        small = small.unionByName(parts.filter(F.col("n") <= LOCAL))
-        large = large.unionByName(parts.filter(F.col("n") > LOCAL))
-    if not large.isEmpty():
-        small = small.unionByName(_undecided(_by_blocks(large), roots))
+    found = keep(written(pairs.join(one, "node").join(two, "leader").filter(_linked("wa", "wb")).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "links"))
+    roots = keep(components(found))
+    large = keep(_undecided(rows.select("key", "node", "words"), roots))
+    small = large.filter(_fits())
+    for dealt in (lambda x: _by_rare_pairs(x, words), _by_blocks):
+        large = large.filter(~_fits())
+        if large.isEmpty():
+            break
+        large = keep(_undecided(dealt(large), roots))
+        small = small.unionByName(large.filter(_fits()) if dealt is not _by_blocks else large)
     local = small.select("key", "node", "root").join(words, "node").groupBy("key").applyInPandas(_solve, "a binary, b binary")
-    found = cut(found.unionByName(local).distinct())
-    removed(docs.sparkSession, path)
-    return found
+    out = written(found.unionByName(local).distinct(), "links")
+    for path in temporary:
+        removed(spark, path)
+    return out
 
 
-def near_classes(docs: DataFrame) -> tuple[DataFrame, str]:
-    """doc_id, node, class_id, class_node: a row for each row of docs; and the path of the table of sketches."""
+def near_classes(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """doc_id, node, class_id, class_node: a row for each row of docs; and the paths of the tables that it reads."""
+    spark = docs.sparkSession
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", node_of(F.col("text")))
-    table, path = written(keyed.select("doc_id", "node", _keys("text").alias("keys")), "sketches")
-    nodes = table.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    roots = components(_links(keyed, nodes))
-    named = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    table, path = written(keyed.select("doc_id", "node", _keys("text").alias("s")).select("doc_id", "node", "s.words", "s.keys"), "sketches")
+    nodes = table.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("words").alias("words"), F.first("keys").alias("keys"))
+    links, link_path = _links(keyed, nodes)
+    roots, root_path = components(links)
+    removed(spark, link_path)
+    named = table.groupBy("node").agg(F.min("doc_id").alias("rep")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull(), F.col("rep"), F.col("node"))).alias("m"))
     named = named.join(least, "root").select("node", F.col("m.rep").alias("class_id"), F.col("m.node").alias("class_node"))
-    return table.select("doc_id", "node").join(named, "node"), path
+    return table.select("doc_id", "node").join(named, "node"), [path, root_path]
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs without all but one row (that of the least doc_id) of each class of near duplicates."""
-    classes, _ = near_classes(docs)
+    classes, paths = near_classes(docs.select("doc_id", "text"))
     stay = classes.filter((F.col("node") == F.col("class_node")) & F.col("doc_id").eqNullSafe(F.col("class_id")))
-    stay = cut(stay.groupBy("node").agg(F.first("doc_id").alias("__id"), F.count("*").alias("n")))
+    stay, _ = written(stay.groupBy("node").agg(F.first("doc_id").alias("__id"), F.count("*").alias("n")), "stay")
+    for path in paths:
+        removed(docs.sparkSession, path)
     rows = docs.withColumn("__node", node_of(F.col("text")))
     on = rows["doc_id"].eqNullSafe(stay["__id"]) & (rows["__node"] == stay["node"])
     kept = rows.join(stay, on, "left_semi")
