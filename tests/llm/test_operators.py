@@ -213,6 +213,60 @@ def test_quality_held_out_accuracy_and_edges(spark, odd, none):
     assert quality.score_quality(none, model).count() == 0
 
 
+def test_ftrl_equals_a_plain_loop():
+    rng = random.Random(1)
+    rows = [(np.array(sorted(rng.sample(range(16), 5)), np.int32), np.array([rng.random() for _ in range(5)], np.float32), rng.randrange(2)) for _ in range(40)]
+    alpha, beta, l1, l2 = 0.3, 1.0, 0.02, 0.02
+    z, n, zb, nb = [0.0] * 16, [0.0] * 16, 0.0, 0.0
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(4):
+        for k in order.permutation(40):
+            idx, val, y = rows[k]
+            b = -zb / ((beta + math.sqrt(nb)) / alpha)
+            w = {int(i): weight(int(i)) for i in idx}
+            p = 1 / (1 + math.exp(-sum(w[int(i)] * float(v) for i, v in zip(idx, val, strict=True)) - b))
+            for i, v in zip(map(int, idx), map(float, val), strict=True):
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+            g = p - y
+            zb += g - (math.sqrt(nb + g * g) - math.sqrt(nb)) / alpha * b
+            nb += g * g
+    model = quality.ftrl(rows, bits=4)
+    assert model.weights == pytest.approx([weight(i) for i in range(16)], abs=1e-6) and model.bias == pytest.approx(-zb / ((beta + math.sqrt(nb)) / alpha))
+
+
+def test_quality_score_equals_a_dictionary():
+    rng = np.random.default_rng(3)
+    model = quality.QualityModel(rng.normal(size=1 << 12).astype(np.float32), 0.3, 12)
+    texts = ["A b, a B!", "", "one one ONE two", "é à"]
+    data, offs = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    slots, bounds = quality._slots(data, offs, 12)
+    assert np.diff(bounds).tolist() == [3 * 6, 0, 3 * 4, 3 * 2]  # words and marks, their pairs, their shapes
+    for k, got in enumerate(model.scores(data, offs)):
+        count = Counter(slots[bounds[k] : bounds[k + 1]].tolist())
+        dot = sum(c * float(model.weights[s]) for s, c in count.items()) / math.sqrt(max(1, sum(count.values())))
+        assert got == pytest.approx(1 / (1 + math.exp(-dot - 0.3)))
+
+
+def test_training_rows_are_bounded_when_ids_repeat(spark, monkeypatch):
+    rows = [(1, f"text {k % 7} of one id", "en", "a", 3) for k in range(5000)] + [(k, f"other {k}", "de", "a", 3) for k in range(2, 40)] + [(1, "no language", None, "a", 3)]
+    docs = spark.createDataFrame(rows, DOC)
+    lab = spark.createDataFrame([(k, k % 2) for k in range(1, 40)] * 3, "doc_id long, quality int")
+    for limit, most in ((10, 10), (1000, 39)):
+        model = quality.train_quality(docs, lab, max_rows=limit, fold=None, bits=10)
+        assert np.array_equal(model.weights, quality.train_quality(docs.dropDuplicates().repartition(3), lab, max_rows=limit, fold=None, bits=10).weights)
+    got = langid.training_rows(docs, 10, None, 100).collect()
+    assert Counter(r["_l"] for r in got) == {"de": 10, "en": 1} and all(r["_t"] != "no language" for r in got)
+    assert {r["_l"] for r in langid.training_rows(docs, 10, None, 1).collect()} == {"en"}
+    none_of_it = docs.filter("lang is null").unionByName(docs.filter("doc_id > 1"))
+    assert all(r["_t"].startswith("other") for r in langid.training_rows(none_of_it, 1000, None, 100).collect())
+
+
 # 5
 
 
@@ -265,6 +319,44 @@ def test_language_held_out_accuracy_and_edges(spark, odd, none):
     assert {r["lang_pred"] for r in langid.identify_language(odd, {}, []).collect()} == {"und"}
 
 
+def test_network_equals_nested_loops():
+    rng = np.random.default_rng(5)
+    net, mask = langid.new_network(3, rng)
+    net["b1"], net["b2"] = rng.normal(size=36).astype(np.float32), rng.normal(size=3).astype(np.float32)
+    x = rng.integers(0, 256, (2, langid.WINDOW)).astype(np.uint8)
+    got = langid.forward(net, x)
+    for row, p in zip(x.tolist(), got, strict=True):
+        row += [0] * (max(langid.WIDTHS) - 1)
+        pooled = []
+        for f in range(36):
+            width = langid.WIDTHS[f // langid.FILTERS]
+            best = max(sum(float(net["emb"][row[i + j]][d]) * float(net["w1"][j * langid.DIM + d][f]) for j in range(width) for d in range(langid.DIM)) for i in range(langid.WINDOW))
+            pooled.append(max(0.0, best + float(net["b1"][f])))
+        logit = [sum(pooled[f] * float(net["w2"][f][k]) for f in range(36)) + float(net["b2"][k]) for k in range(3)]
+        e = [math.exp(v - max(logit)) for v in logit]
+        assert p == pytest.approx([v / sum(e) for v in e], abs=1e-4)
+
+
+def test_network_gradients_equal_differences():
+    rng = np.random.default_rng(6)
+    net, mask = langid.new_network(3, rng)
+    net["b1"] += 0.1
+    x, y = rng.integers(0, 256, (8, langid.WINDOW)).astype(np.uint8), rng.integers(0, 3, 8)
+    loss = lambda: -np.log(langid.forward(net, x).astype(np.float64)[np.arange(8), y]).mean()
+    g, step = langid.gradients(net, x, y, mask), 1e-3
+    for name, value in net.items():
+        at = [np.unravel_index(k, value.shape) for k in np.argsort(-np.abs(g[name]), axis=None)[:5]]
+        for i in at:
+            old = value[i]
+            value[i] = old + step
+            more = loss()
+            value[i] = old - step
+            less = loss()
+            value[i] = old
+            assert (more - less) / (2 * step) == pytest.approx(g[name][i], rel=0.1, abs=2e-3)
+    assert not (g["w1"][mask == 0]).any()
+
+
 # 7
 
 
@@ -563,7 +655,7 @@ def test_language_stage_decides_by_score_and_passes_all_when_nothing_is_learned(
     scores = {0: ("en", 0.49), 1: ("en", 0.5), 2: ("en", 0.99), 3: (langid.UND, 0.0)}
     monkeypatch.setattr(corpus_pipeline, "train_langid", lambda df: ({}, ["en", "de"]))
     pick = lambda at: F.array(*(F.lit(scores[k][at]) for k in range(4)))[F.col("doc_id") % 4]
-    monkeypatch.setattr(corpus_pipeline, "identify_language", lambda df, net, langs: df.withColumns({"lang_pred": pick(0), "score": pick(1)}))
+    monkeypatch.setattr(corpus_pipeline, "identify_language", lambda df, net, langs, out: df.withColumns({out[0]: pick(0), out[1]: pick(1)}))
     got = corpus_pipeline.language(spark, docs, SF)
     assert got.columns == docs.columns and {r["doc_id"] for r in got.collect()} == {r[0] for r in rows if r[0] % 4 in (1, 2)}
 

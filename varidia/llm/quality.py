@@ -4,12 +4,14 @@ Words and runs of other marks are tokens; the shape of each token (in capitals,
 joins them as a feature of its own. Unigrams and bigrams are hashed into 2**bits slots. A text's vector has, at each slot, its count
 over the square root of the text's number of features, so a score is one sparse dot product.
 
-Fitting uses a bounded sample: ``max_rows`` labelled rows (the smallest hashes of doc_id), features only, so
-that the driver gets at most max_rows sparse vectors. Scoring covers every row and whole texts.
+Fitting uses a bounded sample: one row of each of ``max_rows`` labelled documents at most (the smallest hashes of
+doc_id; of rows with one doc_id the one whose text has the smallest hash). One task of an executor fits; the driver gets
+the 2**bits weights only. Scoring covers every row and whole texts.
 
 Nulls: a null text counts as the empty one, whose score is that of the bias alone. Rows of labels with null
 doc_id or label are skipped; repeated label rows of a document count once with their largest label. If no
-labels are left, every score is 0.5. Columns named like the outputs are replaced. Repeated rows stay.
+labels are left, every score is 0.5. Very long texts are cut into slices of words. Columns named like the outputs are
+replaced; ``out`` gives the outputs other names. Repeated rows stay.
 """
 
 from __future__ import annotations
@@ -91,7 +93,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
     if fold:
         lab = lab.filter(~held_out(F.col("_id"), *fold))
     lab = lab.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    picked = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_t")).join(F.broadcast(lab), "_id").select("_t", "_y")
+    picked = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_t")).join(F.broadcast(lab), "_id")
+    picked = picked.groupBy("_id", "_y").agg(F.min(F.struct(F.xxhash64("_t").alias("h"), F.col("_t"))).alias("_m")).select("_m._t", "_y")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,15 +108,22 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
                     val.append((c / np.sqrt(max(b - a, 1))).astype(np.float32))
                 yield pa.RecordBatch.from_arrays([pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32())), pa.array(ys[lo:hi], pa.int32())], ["i", "v", "y"])
 
-    got = picked.mapInArrow(features, "i array<int>, v array<float>, y int").toArrow()
-    rows = [(i.values.to_numpy().astype(np.int64), v.values.to_numpy().astype(np.float64), y) for i, v, y in zip(got["i"], got["v"], got["y"].to_pylist(), strict=True)]
-    rows.sort(key=lambda r: (len(r[0]), r[2], r[0].tobytes(), r[1].tobytes()))  # the order rows arrive in differs between runs
-    if not rows:
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for got in batches:
+            rows += [(i.values.to_numpy(), v.values.to_numpy(), y) for i, v, y in zip(got["i"], got["v"], got["y"].to_pylist(), strict=True)]
+        rows.sort(key=lambda r: (len(r[0]), r[2], r[0].tobytes(), r[1].tobytes()))  # the order rows arrive in differs between runs
+        if rows:
+            m = ftrl(rows, bits)
+            yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.bias])], ["w", "b"])
+
+    best = picked.mapInArrow(features, "i array<int>, v array<float>, y int").repartition(1).mapInArrow(fit, "w binary, b double").first()
+    if best is None:
         return QualityModel(np.zeros(1 << bits, np.float32), 0.0, bits)
-    return ftrl(rows, bits)
+    return QualityModel(np.frombuffer(best["w"], np.float32), best["b"], bits)
 
 
-def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
+def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3, out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """docs with score (0 to 1, higher: better) and predicted (1 if score >= threshold)."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.bits))  # 2**bits floats, whatever the data
 
@@ -124,7 +134,7 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3)
             got = [m.scores(data, offs) for _, _, data, offs in blocks(arr)]
             yield pa.array(np.concatenate(got) if got else [], pa.float64())
 
-    return docs.withColumn("score", score("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.withColumn(out[0], score("text")).withColumn(out[1], (F.col(out[0]) >= threshold).cast("int"))
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
