@@ -20,10 +20,21 @@ from varidia.llm.quality import score_quality, train_quality
 FLOOR = 0.5
 
 
+def _own(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def _free(docs: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names with as many underscores before them as no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    return tuple(next(n for k in range(2, len(taken) + 3) if (n := "_" * k + name) not in taken) for name in names)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labelled ones, scores below 0.3 go."""
     model = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, model).filter("predicted = 1").select(*docs.columns)
+    score, predicted = _free(docs, "score", "predicted")
+    return score_quality(docs, model, out=(score, predicted)).filter(F.col(predicted) == 1).select(*_own(docs))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +45,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net, langs = train_langid(docs)
     if not langs:
         return docs.filter(has_letter("text"))
-    return identify_language(docs, net, langs).filter((F.col("lang_pred") != UND) & (F.col("score") >= FLOOR)).select(*docs.columns)
+    lang, score = _free(docs, "lang_pred", "score")
+    return identify_language(docs, net, langs, out=(lang, score)).filter((F.col(lang) != UND) & (F.col(score) >= FLOOR)).select(*_own(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
