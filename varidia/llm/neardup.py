@@ -387,10 +387,17 @@ def _by_blocks(rows: DataFrame) -> DataFrame:
     return rows.select("node", "words", F.xxhash64("key", F.least("own", "with"), F.greatest("own", "with")).alias("key"))
 
 
-def _undecided(rows: DataFrame, roots: DataFrame) -> tuple[DataFrame, str]:
-    """Of rows (key, node, words): those of keys whose nodes are in several components, with root and the key's texts and words; and the table's path."""
+def _undecided(rows: DataFrame, roots: DataFrame, least: int) -> tuple[DataFrame, str]:
+    """Of rows (key, node, words): those of keys of ``least`` nodes or more, in several components, with root and the key's texts and words; and the table's path.
+
+    Of keys with the same nodes one stays, by 128 bits of the nodes' hashes.
+    """
     rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    seen = rows.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("n"), F.sum("words").alias("total")).filter("r1 != r2")
+    seen = rows.groupBy("key").agg(
+        F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("n"), F.sum("words").alias("total"),
+        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit("again"), "node")).alias("y"),
+    ).filter((F.col("r1") != F.col("r2")) & (F.col("n") >= least))
+    seen = seen.groupBy("n", "x", "y").agg(F.min("key").alias("key"), F.first("total").alias("total"))
     return written(rows.join(seen.select("key", "n", "total"), "key"), "open")
 
 
@@ -419,15 +426,15 @@ def _links(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, str]:
     one, two = words.withColumnRenamed("w", "wa"), words.select(F.col("node").alias("leader"), F.col("w").alias("wb"))
     found = keep(written(pairs.join(one, "node").join(two, "leader").filter(_linked("wa", "wb")).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "links"))
     roots = keep(components(found))
-    large = keep(_undecided(rows.select("key", "node", "words"), roots))
+    large = keep(_undecided(rows.select("key", "node", "words"), roots, 3))  # of two, the leader was compared with the other
     small = large.filter(_fits())
     for dealt in (lambda x: _by_rare_pairs(x, words), _by_blocks):
         large = large.filter(~_fits())
         if large.isEmpty():
             break
-        large = keep(_undecided(dealt(large), roots))
+        large = keep(_undecided(dealt(large), roots, 2))
         small = small.unionByName(large.filter(_fits()) if dealt is not _by_blocks else large)
-    local = small.select("key", "node", "root").join(words, "node").groupBy("key").applyInPandas(_solve, "a binary, b binary")
+    local = small.select("key", "node", "root").join(words, "node").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").groupBy("key").applyInPandas(_solve, "a binary, b binary")
     out = written(found.unionByName(local).distinct(), "links")
     for path in temporary:
         removed(spark, path)
