@@ -11,6 +11,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
 from varidia.llm import audio, chat, htmltext, langid, lmscore, mixing, neardup, packing, phrases, quality, queries
@@ -45,10 +46,11 @@ def test_packing_finds_the_tightest_compatible_bin():
         n, cap = rng.randrange(1, 60), 100
         sizes = [rng.randrange(0, 101) for _ in range(n)]
         src, dup = [rng.randrange(6) for _ in range(n)], [rng.randrange(20) for _ in range(n)]
-        got = packing.best_fit(sizes, src, dup, cap)
+        most = rng.choice((1, 1, 2, 3))
+        got = packing.best_fit(sizes, src, dup, cap, most)
         room, content, want = [], [], [0] * n
         for k in sorted(range(n), key=lambda k: (-sizes[k], k)):
-            fits = [b for b in range(len(room)) if room[b] >= sizes[k] and all(src[o] != src[k] and dup[o] != dup[k] for o in content[b])]
+            fits = [b for b in range(len(room)) if room[b] >= sizes[k] and sum(src[o] == src[k] for o in content[b]) < most and all(dup[o] != dup[k] for o in content[b])]
             b = min(fits, key=lambda b: (room[b], b), default=None)
             if b is None:
                 b = len(room)
@@ -76,6 +78,30 @@ def test_packing_keeps_all_words(spark, odd, none):
     assert len(got) == 10 and got[got["doc_id"] == 3]["bin_id"].nunique() == 2  # one text of 6000 words has three pieces
 
 
+def test_packing_query_equals_plain_placement(spark, monkeypatch):
+    """The bins of one shard by a search over all bins; and copies dealt out in chunks."""
+    monkeypatch.setattr(packing, "CHUNK", 3)
+    docs = docs_of(spark).select("doc_id", "text", "source").unionByName(spark.createDataFrame([(5000, "one text of many copies", "s")] * 11, "doc_id long, text string, source string"))
+    rows = packing.pack(docs, capacity=300, shard_rows=10**6).toPandas()
+    assert (rows["doc_id"] == 5000).sum() == 11 and rows[rows["doc_id"] == 5000]["bin_id"].nunique() == 11
+    same = {r["doc_id"]: (r["source"], re.sub(r"[ \t-\r]+", " ", r["text"].lower()).strip()) for r in docs.collect()}
+    bins = []  # room, sources, texts: the pieces in the order of size; of equal sizes the operator's own order
+    order = rows[(rows["words"] < 300) | (rows["bin_pieces"] > 1)].sort_values("words", ascending=False, kind="stable")
+    placed = {}
+    for r in order.itertuples():
+        source, text = same[r.doc_id]
+        fits = [b for b in placed.values() if b[0] >= r.words and source not in b[1] and text not in b[2]]
+        mine = placed.get(r.bin_id)
+        if mine is None:
+            bins.append(r.bin_id)
+            mine = placed[r.bin_id] = [300, set(), set()]
+        mine[0] -= r.words
+        assert mine[0] >= 0 and source not in mine[1] and text not in mine[2]
+        mine[1].add(source)
+        mine[2].add(text)
+    assert len(bins) == order["bin_id"].nunique()
+
+
 # 2
 
 
@@ -114,6 +140,46 @@ def test_adpcm_blocks_equal_a_plain_decoder():
     assert audio.adpcm_blocks(coded).tolist() == want
 
 
+def test_audio_files_and_features_equal_plain_ones(spark, odd):
+    def plain(data, fmt):
+        if fmt == audio.MULAW:
+            out = []
+            for byte in data:
+                code = byte ^ 0xFF
+                size = (((code & 15) * 8 + 132) * 2 ** ((code >> 4) & 7)) - 132
+                out.append(-size if code & 128 else size)
+            return out
+        out = []
+        for byte in data:
+            code = byte ^ 0x55
+            e, size = code >> 4 & 7, (code & 15) * 16 + 8
+            size = size if e == 0 else (size + 256) * 2 ** (e - 1)
+            out.append(size if code & 128 else -size)
+        return out
+
+    for fmt in (audio.MULAW, audio.ALAW):
+        assert audio.decode(fmt, bytes(range(256))).tolist() == plain(range(256), fmt)
+    x = [random.Random(1).randrange(-3000, 3000) for _ in range(60)]
+    got = audio.resample(np.array(x, np.int16), 8000, 16000)
+    for i in range(120):  # a windowed sinc around i / 2, weights that sum to 1
+        near = [(k, i / 2 - k) for k in range(-8 + i // 2, i // 2 + 9)]
+        h = [math.prod((np.sinc(t), math.cos(math.pi * t / 18) ** 2)) * (abs(t) <= 8) for _, t in near]
+        assert abs(got[i] - max(-32768, min(32767, sum(w * x[k] for (k, _), w in zip(near, h, strict=True) if 0 <= k < 60) / sum(h)))) <= 1
+    rows = audio.text_audio(docs_of(spark).limit(60)).select("audio.*").collect()
+    bare = audio.text_audio(docs_of(spark).limit(60), files=False).select("audio.*").collect()
+    seen = set()
+    for r, b in zip(rows, bare, strict=True):
+        assert all(r[n] == b[n] for n in b.asDict()) and hashlib.sha256(r["wav"]).hexdigest() == r["wav_sha256"]
+        fmt, rate, channels, align, data = audio.unwav(r["media"])
+        pcm = audio.resample(audio.decode(fmt, data, channels, align), rate, 16000)
+        wav = audio.unwav(r["wav"])
+        assert wav[:3] == (audio.PCM, 16000, 1) and bytes(wav[4]) == pcm.tobytes()
+        wide = pcm.astype(int).tolist()
+        assert r["feature"].startswith(f"format={fmt};rate=16000;n={len(wide)};peak={max(map(abs, wide))};energy={sum(v * v for v in wide)};")
+        seen.add(fmt)
+    assert seen == set(audio.FORMATS)
+
+
 def test_resampling_and_media_columns(spark):
     t = np.arange(4000) / 8000
     tone = (8000 * np.sin(2 * np.pi * 440 * t)).astype(np.int16)
@@ -155,6 +221,42 @@ def test_lm_scores_equal_brute_force(spark, odd, none):
     assert lmscore.score_documents(none).count() == 0
 
 
+@pytest.mark.parametrize("order, least", [(1, 1), (2, 1), (2, 2), (3, 1), (3, 2)])
+def test_lm_scores_of_any_order_equal_brute_force(spark, order, least):
+    rng = random.Random(order)
+    texts = [(k, " ".join(rng.choice(["a", "B", "c", "É", "dd"]) for _ in range(rng.randrange(9)))) for k in range(60)]
+    texts += [(1, "a b"), (7, None), (8, "a c a c"), (8, "a c a c"), (None, "b c dd")]
+    words = [(k, (t or "").lower().split()) for k, t in texts]
+    count = Counter(tuple(w[i - n + 1 : i + 1]) for _, w in words for n in range(1, order + 1) for i in range(n - 1, len(w)))
+    total = sum(c for g, c in count.items() if len(g) == 1)
+    want, size = Counter(), Counter()
+    for k, w in words:
+        size[k] += len(w)
+        for i in range(len(w)):
+            top = min(order, i + 1)
+            n = next(n for n in range(top, 0, -1) if n == 1 or count[tuple(w[i - n + 1 : i + 1])] >= least)
+            g = tuple(w[i - n + 1 : i + 1])
+            want[k] += math.log(count[g] / (count[g[:-1]] if n > 1 else total)) + (top - n) * math.log(0.4)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for got in [lmscore.score_ngrams(df, order, min_count=least), *([lmscore.score_documents(df, min_count=least)] if order == 2 else [])]:
+        rows = {r["doc_id"]: r for r in got.collect()}
+        assert set(rows) == {k for k, _ in texts}
+        assert all(rows[k]["n_words"] == size[k] and rows[k]["log_score"] == pytest.approx(want[k]) for k in rows)
+    assert lmscore.score_ngrams(df.limit(0)).count() == 0
+
+
+def test_one_first_word_is_no_hot_key(spark):
+    df = spark.createDataFrame([(k, f"the r{k}a r{k}b r{k}c r{k}d") for k in range(4000)], "doc_id long, text string")
+    got = lmscore.score_documents(df, min_count=1)
+    assert all(r["n_words"] == 5 and r["log_score"] == pytest.approx(math.log(4000 / 20000) + math.log(1 / 4000)) for r in got.collect())
+    placed = []  # rows of the exploded pairs: none has the first word
+    real = DataFrame.repartition
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(DataFrame, "repartition", lambda self, *a: placed.append(self) or real(self, *a))
+        lmscore.score_documents(df, min_count=1, heavy=0)
+    assert placed[0].groupBy("pair").count().agg(F.max("count")).first()[0] == 1 and placed[0].count() == 16_000
+
+
 def test_lm_query_counts_pairs_that_occur_once(spark, tmp_path):
     texts = {1: "a b c a b d", 2: "A b e", 3: "rare once", 4: "c", 5: "", 6: None}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -287,6 +389,55 @@ def test_fingerprints(spark, odd, none):
     assert phrases.with_neighbours(none).count() == 0
 
 
+def plain_names(text):
+    """Names at each level by loops over one text; the same hashes of symbols."""
+    one = lambda x: int(phrases.mix(np.array([x & (1 << 64) - 1], np.uint64))[0])
+    sym, out = [ord(c) for c in text], []
+    for _ in range(max(phrases.LEVELS)):
+        runs = []
+        for x in sym:
+            if runs and runs[-1][0] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        s = [x if n == 1 else one(x + n * 0x9E3779B97F4A7C15) for x, n in runs]
+
+        def toss(x, y):
+            if x == y:
+                return 0
+            low = (x ^ y) & -(x ^ y)
+            return 2 * (low.bit_length() - 1) + bool(x & low)
+
+        label = [toss(x, s[i - 1] if i else ~x & (1 << 64) - 1) for i, x in enumerate(s)]
+        for _ in range(3):
+            label = [toss(x, label[i - 1] if i else x ^ 1) for i, x in enumerate(label)]
+        cuts = [0] + [i for i in range(1, len(s) - 1) if label[i - 1] < label[i] >= label[i + 1]]
+        sym = []
+        for a, b in zip(cuts, [*cuts[1:], len(s)], strict=True):
+            power, total = 1, 0
+            for x in s[a:b]:
+                total += one(x) * power
+                power = power * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+            sym.append(one(total + b - a))
+        out.append([one(x + len(out) + 1) >> 32 for x in sym])
+    return sorted({x for level in phrases.LEVELS for x in out[level - 1]})[: phrases.K]
+
+
+def test_fingerprints_equal_a_plain_parse(spark):
+    texts = ["a", "ab", "aaaa", "abcabc" * 9, *(r["text"] for r in docs_of(spark).limit(25).collect())]
+    texts = [t for t in texts if t]
+    assert [x.tolist() for x in phrases.sketches(texts)] == [plain_names(t) for t in texts]
+    rows = sorted(phrases.op5_phrases(spark, SF).collect(), key=lambda r: -r["doc_id"])[:30]
+    text = {r["doc_id"]: r["text"] or "" for r in docs_of(spark).collect()}
+    for r, nxt in zip(rows, rows[1:], strict=False):
+        t, u = text[r["doc_id"]], text[nxt["doc_id"]]
+        e = t[: len(t) - len(t) // 3] + u[: len(t) // 3]
+        for near, other in (("near_edited", e), ("near_next", u)):
+            a, b = plain_names(t) if t else [], plain_names(other) if other else []
+            least = sorted({*a, *b})[: phrases.K]
+            assert r[near] == pytest.approx(len({*a} & {*b} & {*least}) / len(least) if a and b else float(len(a) == len(b)))
+
+
 def test_equal_substrings_share_phrases_at_any_offset():
     rng = random.Random(5)
     word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
@@ -535,6 +686,30 @@ def test_mixing_edges(spark, odd, none):
     assert places == {"B": 0, "a": 1, "b": 2, "é": 3, None: 4}
 
 
+def test_mixing_keeps_the_documents_own_columns(spark):
+    names = ("weight", "rate", "size", "target", "copies", "source_size", "row", "of", "copy", "limit", "Place")
+    docs = docs_of(spark).withColumns({n: F.concat(F.lit(n), "doc_id") for n in names}).withColumn("a.b", F.lit(1))
+    plain = Counter(r["doc_id"] for r in mixing.mix_sources(docs_of(spark)).collect())
+    rows = mixing.mix_sources(docs).collect()
+    assert Counter(r["doc_id"] for r in rows) == plain
+    assert all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+    plan = mixing.mix_plan(docs)
+    assert {r["weight"] for r in plan.collect()} == {f"weight{k}" for k in {r["doc_id"] for r in docs.collect()}}
+    assert {(r["doc_id"], r["copies"]) for r in plan.collect()} == {(r["doc_id"], r["copies"]) for r in mixing.mix_plan(docs_of(spark)).collect()}
+
+
+def test_chat_sql_counts_escapes(spark, tmp_path):
+    bits = ["\\", "<|", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<s>", "x", "\n", "é"]
+    rng = random.Random(9)
+    rows = [(k % 40, k, rng.choice(["user", "assistant", "a\\b\n<|", None]), "".join(rng.choice(bits) for _ in range(rng.randrange(9))) or None) for k in range(300)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(queries.ORACLES["op9_chat"])
+    columns = [c[0] for c in want.description]
+    assert sorted(map(tuple, queries.QUERIES["op9_chat"](spark, str(tmp_path)).select(*columns).collect())) == sorted(want.fetchall())
+
+
 def test_chat_reads_back(spark):
     rng = random.Random(4)
     bits = ["\\", "<|", "|>", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<|im_end|>\n", "<|im_next|>", "\\\\<|", "a", "é", "\n", ""]
@@ -701,6 +876,30 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in rows} == set(new)
 
 
+def test_stages_leave_columns_as_they_are_and_decide_as_the_models(spark):
+    import corpus_pipeline
+
+    names = ("score", "predicted", "lang_pred", "weight", "size", "__score")
+    docs = docs_of(spark).withColumns({n: F.concat(F.lit(n), "doc_id") for n in names})
+    lab = spark.read.parquet(f"{SF}/labels.parquet")
+    model, (net, langs) = quality.train_quality(docs, lab), langid.train_langid(docs)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, docs, SF).collect()
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+        kept = {r["doc_id"] for r in rows}
+        if name == "quality":
+            want = {k for k, t in texts.items() if model.scores(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] >= 0.3}
+            assert kept == want
+        elif name == "language":
+            want = set()
+            for k, t in texts.items():
+                x, _, real = langid.windows(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+                if any(c.isalpha() for c in t) and (langid.forward(net, x) * real[:, None]).sum(0).max() / real.sum() >= 0.5:
+                    want.add(k)
+            assert kept == want
+
+
 def test_language_stage_decides_by_score_and_passes_all_when_nothing_is_learned(spark, monkeypatch):
     import corpus_pipeline
 

@@ -217,16 +217,28 @@ def read_payload(blob: bytes) -> tuple[int, bytes, memoryview]:
 
 
 FORMATS = (MULAW, ALAW, ADPCM)
+FILES = ("media", "wav")
 
 
-def text_audio(docs: DataFrame, rate: int = 16000) -> DataFrame:
-    """docs with a struct ``audio``: each text's bytes stored as telephony audio, read back, decoded and resampled.
+def text_audio(docs: DataFrame, rate: int = 16000, files: bool = True) -> DataFrame:
+    """docs with a struct ``audio``: each text's bytes stored as telephony audio, read back, decoded, resampled and stored as a PCM file.
 
-    The text's checksum picks one of FORMATS, so equal texts have equal values.
+    The text's checksum picks one of FORMATS, so equal texts have equal values. Features come from the PCM file as it is
+    read back. ``media`` and ``wav`` are the two files; without ``files``, which take 5 to 9 times the text, they stay in the task.
     """
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-
-    @F.arrow_udf("n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    kinds = {"n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string", "wav_bytes": "bigint", "wav_sha256": "string"}
+    kinds |= dict.fromkeys(FILES, "binary") if files else {}
+    types = pa.struct([(n, {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in kinds.items()])
+
+    def described(row: dict, fmt: int, pcm: np.ndarray) -> None:
+        stored = wav(resample(pcm, 8000, rate).tobytes(), PCM, rate)
+        read_fmt, read_rate, _, _, data = unwav(stored)
+        row["feature"] = f"format={fmt};rate={read_rate};" + features(decode(read_fmt, data))
+        row["wav_bytes"], row["wav_sha256"] = len(stored), hashlib.sha256(stored).hexdigest()
+        if files:
+            row["wav"] = stored
+
+    @F.arrow_udf(", ".join(f"{n} {t}" for n, t in kinds.items()))
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for arr in parts:
             rows: list[dict] = []
@@ -236,24 +248,26 @@ def text_audio(docs: DataFrame, rate: int = 16000) -> DataFrame:
                     payload = padded(data[a:b].tobytes())
                     blob = store_payload(payload, FORMATS[zlib.crc32(payload) % len(FORMATS)])
                     fmt, back, samples = read_payload(blob)
-                    row = dict(zip(names, (int(b - a), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(blob), hashlib.sha256(blob).hexdigest(), None), strict=True))
+                    row = {"n_bytes": int(b - a), "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-UNIT:]), "media_bytes": len(blob), "media_sha256": hashlib.sha256(blob).hexdigest()}
+                    if files:
+                        row["media"] = blob
                     if fmt == ADPCM:  # all of these decode together below
                         coded.append(np.frombuffer(samples, np.uint8).reshape(-1, UNIT + 4))
                         owner.append(len(coded[-1]))
                         waiting.append(row)
                     else:
-                        row["feature"] = f"format={fmt};" + features(resample(decode(fmt, samples), 8000, rate))
+                        described(row, fmt, decode(fmt, samples))
                     rows.append(row)
                 if waiting:
                     pcm, at = adpcm_blocks(np.concatenate(coded)), 0
                     for row, n in zip(waiting, owner, strict=True):
-                        row["feature"] = f"format={ADPCM};" + features(resample(pcm[at : at + n].ravel(), 8000, rate))
+                        described(row, ADPCM, pcm[at : at + n].ravel())
                         at += n
-            yield pa.array(rows, pa.struct([(n, pa.string() if n in ("payload_sha256", "media_sha256", "feature") else pa.int64()) for n in names]))
+            yield pa.array(rows, types)
 
     return docs.withColumn("audio", run("text"))
 
 
 def op2_audio(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return text_audio(docs).select("doc_id", "audio.*")
+    return text_audio(docs, files=False).select("doc_id", "audio.*")

@@ -113,24 +113,27 @@ def op9_chat(spark, sf_dir: str) -> DataFrame:
     )
 
 
-#: Digests come straight from the rows; only the formatted length counts marks and escapes.
-OP9_SQL = r"""
+def _escaped_length(column: str) -> str:
+    """DuckDB SQL for the length of an escaped text: each backslash and each control string adds one."""
+    often = lambda x, n: f"(length({column}) - length(replace({column}, {x}, ''))) // {n}"
+    return " + ".join([f"length({column})", often("chr(92)", 1), *(often(f"'{c}'", len(c)) for c in CONTROL)])
+
+
+#: Digests come straight from the rows; only the formatted length counts marks and escapes. A newline in a role adds one more.
+OP9_SQL = rf"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), t AS (
   SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before,
-    length(text) + length(text) - length(replace(text, '', ''))
-    + (length(text) - length(replace(text, '<|', ''))) // 2 + (length(text) - length(replace(text, '</s>', ''))) // 4
-    + (length(text) - length(replace(text, '<s>', ''))) // 3 + (length(text) - length(replace(text, '[INST]', ''))) // 6
-    + (length(text) - length(replace(text, '[/INST]', ''))) // 7 + (length(text) - length(replace(text, '<<SYS>>', ''))) // 7
-    + (length(text) - length(replace(text, '<</SYS>>', ''))) // 8 AS escaped
+    {_escaped_length("text")} AS escaped,
+    {_escaped_length("role")} + length(role) - length(replace(role, chr(10), '')) AS escaped_role
   FROM c
 )
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(escaped + CASE WHEN before = role THEN 11 ELSE 12 + length(role) + 1 + 11 END) AS BIGINT) AS formatted_chars
+  CAST(sum(escaped + CASE WHEN before = role THEN {len(NEXT)} ELSE {len(START)} + escaped_role + 1 + {len(END)} END) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id
 """

@@ -8,8 +8,9 @@ once more if a number in [0, 1) drawn from md5 of the seed, doc_id and text's md
 fraction. So reruns agree and, as rates are at most ``most``, no document exceeds that many times its size.
 
 Null text has size 0; a null doc_id draws as the empty text. Sources of size 0 have target 0 and rate 0. Rows
-that repeat are separate documents with the same draw. An empty table gives an empty result. Columns named like
-the outputs are replaced. Sizes are summed per source before the shuffle, so a hot source costs no more; the
+that repeat are separate documents with the same draw. An empty table gives an empty result. In the plan, columns named like
+the outputs are replaced; the mix has the documents' own columns, whatever their names. Very long texts are read once to be
+counted and once to be drawn for. Sizes are summed per source before the shuffle, so a hot source costs no more; the
 sums (a row for each source) are joined by broadcast only if there are ``small`` of them at most, and else by a
 sort-merge join whose skew adaptive execution splits.
 """
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import cut
+from ._shared import removed, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -57,9 +58,10 @@ def source_targets(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total:
     set. The rounds end when none reaches it, with one small sum each.
     """
     sizes = docs.groupBy("source").agg(F.sum(word_count(F.col("text"))).alias("source_size"))
-    sizes = cut(sizes)
+    sizes, path = written(sizes, "sizes")
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("place") % len(weights) + 1).cast("int"))
-    table = cut(ranked(sizes).select("source", "source_size", weight.alias("weight"), (F.col("source_size") * float(most)).alias("limit")))
+    table = written(ranked(sizes).select("source", "source_size", weight.alias("weight"), (F.col("source_size") * float(most)).alias("limit")), "targets")[0]
+    removed(docs.sparkSession, path)
     budget = table.agg(F.sum("source_size")).first()[0] or 0
     budget = min(total, most) * budget
     share = 0.0
@@ -74,22 +76,33 @@ def source_targets(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total:
     return table.select("source", "source_size", "weight", F.least(F.col("limit"), F.col("weight") * F.lit(float(share))).alias("target"))
 
 
-def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0, seed: str = "mix", small: int = SMALL) -> DataFrame:
-    """docs with size, source_size, target, rate and copies."""
-    targets = source_targets(docs, weights, total, most).withColumnRenamed("source", "__source")
-    docs = docs.drop("size", "source_size", "target", "rate", "copies", "weight")
+PLAN = ("size", "source_size", "target", "rate", "copies")
+
+
+def _planned(docs: DataFrame, weights: tuple[float, ...], total: float, most: float, seed: str, small: int) -> DataFrame:
+    """Each row of docs as the struct ``row``, beside the columns of PLAN; so names can't clash."""
+    sized = docs.select(F.col("source").alias("source"), F.col("text").alias("text"))
+    targets = source_targets(sized, weights, total, most).select(F.col("source").alias("of"), "source_size", "target")
     if targets.count() <= small:
         targets = F.broadcast(targets)
-    out = docs.join(targets, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source", "weight")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text", "source")
+    rows = rows.join(targets, F.col("source").eqNullSafe(F.col("of")), "left")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    out = out.withColumn("size", word_count(F.col("text"))).withColumn("rate", rate)
-    return out.withColumn("copies", (F.floor("rate") + (_draw(seed) < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
+    rows = rows.withColumn("size", word_count(F.col("text"))).withColumn("rate", rate)
+    copies = (F.floor("rate") + (_draw(seed) < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
+    return rows.select("row", "size", "source_size", "target", "rate", copies.alias("copies"))
+
+
+def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0, seed: str = "mix", small: int = SMALL) -> DataFrame:
+    """docs with size, source_size, target, rate and copies."""
+    own = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in PLAN]
+    return _planned(docs, weights, total, most, seed, small).select(*own, *PLAN)
 
 
-def mix_sources(docs: DataFrame, **options) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0, seed: str = "mix", small: int = SMALL) -> DataFrame:
     """The documents of the mix: rows of docs with their own columns, each as often as its plan says."""
-    plan = mix_plan(docs, **options)
-    return plan.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    plan = _planned(docs, weights, total, most, seed, small).filter("copies > 0")
+    return plan.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

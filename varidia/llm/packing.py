@@ -2,8 +2,8 @@
 
 A document longer than a bin is cut: pieces of a whole bin stay alone, the rest is packed. No bin holds two
 pieces of one duplicate cluster (equal texts but for case and white space, unless a column says otherwise) and,
-among packed pieces, none holds two of one source. Within a shard, pieces go largest first. Open bins are kept
-in the order of their residual space; each bin carries a bitmap of its sources and one of its clusters. The
+among packed pieces, none holds more than ``per_source`` (one) of one source. Within a shard, pieces go largest first. Open bins are kept
+in the order of their residual space; each bin carries a bitmap of its sources (one for each piece that a source may have) and one of its clusters. The
 search starts at the smallest residual that is large enough and goes on to its successors until a bin without a
 conflict is found, which is the tightest compatible one; else a new bin opens.
 
@@ -26,33 +26,38 @@ from .mixing import word_count
 
 CAPACITY = 2048
 SHARD_ROWS = 2000
+CHUNK = 100_000
 
 
-def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity: int) -> list[int]:
-    """The bin of each piece; sources and clusters are small numbers, one bit of a bitmap each."""
+def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity: int, per_source: int = 1) -> list[int]:
+    """The bin of each piece; sources and clusters are small numbers, one bit of a bitmap each.
+
+    Bitmap k of a bin's sources has those with more than k pieces.
+    """
     bins: list[int] = [-1] * len(sizes)
     open_bins: list[tuple[int, int]] = []  # residual, bin
-    has_source: list[int] = []
+    has_source: list[list[int]] = []
     has_cluster: list[int] = []
     for k in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
         size, s, c = sizes[k], 1 << sources[k], 1 << clusters[k]
         at = bisect_left(open_bins, (size, -1))
-        while at < len(open_bins) and (has_source[b := open_bins[at][1]] & s or has_cluster[b] & c):
+        while at < len(open_bins) and (has_source[b := open_bins[at][1]][-1] & s or has_cluster[b] & c):
             at += 1
         if at < len(open_bins):
             residual, b = open_bins.pop(at)
         else:
             residual, b = capacity, len(has_source)
-            has_source.append(0)
+            has_source.append([0] * per_source)
             has_cluster.append(0)
-        has_source[b] |= s
+        level = next(i for i, bits in enumerate(has_source[b]) if not bits & s)
+        has_source[b][level] |= s
         has_cluster[b] |= c
         bins[k] = b
         insort(open_bins, (residual - size, b))
     return bins
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, cluster: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, cluster: str | None = None, per_source: int = 1) -> DataFrame:
     """bin_id, doc_id, source, piece, first_word, words, bin_words, bin_pieces: a row for each piece of a document."""
     text = F.coalesce("text", F.lit(""))
     same = F.col(cluster).cast("string") if cluster else F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))
@@ -61,7 +66,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     # copies of one document differ by nothing: a salt that only depends on the row's place would not rerun alike, so they
     # are counted and dealt out by number
     rows = rows.groupBy("doc_id", "source", "size", "cluster", "h").agg(F.count("*").alias("n"))
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    # a document with more copies than CHUNK is dealt to several tasks before it is repeated
+    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CHUNK)))).repartition("h", "chunk")
+    last = F.least(F.col("n"), (F.col("chunk") + 1) * CHUNK)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.col("chunk") * CHUNK + 1, last)))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("h", "copy"), F.lit(shards)).cast("int"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -71,7 +79,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
         code = pdf["source"].factorize(use_na_sentinel=False)[0].tolist()
         clusters = pdf["cluster"].factorize()[0].tolist()
         packed = [i for i in range(len(pdf)) if rest[i] or not full[i]]
-        bins = best_fit([rest[i] for i in packed], [code[i] for i in packed], [clusters[i] for i in packed], capacity)
+        bins = best_fit([rest[i] for i in packed], [code[i] for i in packed], [clusters[i] for i in packed], capacity, per_source)
         rows = [(b, i, full[i], full[i] * capacity, rest[i]) for b, i in zip(bins, packed, strict=True)]
         top = max(bins, default=-1) + 1
         for i, n in enumerate(full):

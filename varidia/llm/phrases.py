@@ -163,13 +163,18 @@ def with_neighbours(docs: DataFrame, n_ranges: int | None = None) -> DataFrame:
     def part(keys: pa.Array) -> pa.Array:
         return pa.array(len(bounds) - np.searchsorted(bounds, keys.to_numpy(zero_copy_only=False)), pa.int32())
 
+    # part numbers are replaced by others whose hashes deal them to one task each
+    dealt = spark.range(40 * n).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("task")).agg(F.min("id").alias("id")).collect()  # n rows
+    name = [int(r["id"]) for r in sorted(dealt, key=lambda r: r["task"])]
     heads = sorted((r["part"], r["head"]) for r in docs.select("key", part("key").alias("part")).groupBy("part").agg(F.max("key").alias("head")).collect())
     rows = docs.select(part("key").alias("part"), F.lit(0).alias("look"), "key", "doc_id", "text")
     if not heads:
         return rows
     to = spark.createDataFrame([(heads[i][1], heads[i - 1][0]) for i in range(len(heads))], "key bigint, part int")
     look = docs.filter(F.col("key").isin([h for _, h in heads])).join(F.broadcast(to), "key").select("part", F.lit(1).alias("look"), "key", "doc_id", "text")
-    return rows.unionByName(look).repartition(n, "part").sortWithinPartitions("part", "look", F.desc("key"), F.xxhash64("text"), "text")
+    names = F.array(*map(F.lit, name))
+    rows = rows.unionByName(look).withColumn("part", F.element_at(names, F.col("part") % len(name) + 1))
+    return rows.repartition(n, "part").sortWithinPartitions("part", "look", F.desc("key"), F.xxhash64("text"), "text")
 
 
 def op5_phrases(spark, sf_dir: str) -> DataFrame:
