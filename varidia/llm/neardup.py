@@ -15,10 +15,11 @@ all runs of that many words are keys. Other pairs at a similarity of 0.85 share
 Equal texts are one node. In each bucket (texts with one key), all are compared with its leader, the text that
 shares most keys with others; so a group of near copies, however large, costs a comparison a text. Buckets whose
 texts are then in one component are done. Of the others, one of LOCAL texts and LOCAL_WORDS words or fewer goes to one task,
-which counts the labelled word pairs that texts have in common: two texts within d edits, the longer of L words, have
-L - 1 - 2 d at least. A larger bucket is dealt out anew by those word pairs: with all pairs ordered from rare to
+which counts the labelled words and word pairs that texts have in common: two texts within d edits, the longer of L words,
+have L - d and L - 1 - 2 d at least. A larger bucket is dealt out anew by those word pairs: with all pairs ordered from rare to
 frequent, two such texts share one of their first ones, and texts that have but a frequent passage in common part.
-What is larger still is compared block by block, in as many tasks, without loss. So nothing is capped. The driver sees only counts.
+Where that saves nothing, as the texts have most in common, and what is larger still is compared block by block, in as
+many tasks, without loss. So nothing is capped. The driver sees only counts.
 
 An alignment keeps a band of bits around the diagonal that widens up to the limit: its time is words times band
 over 64, its memory some 100 bytes a word and, for the 4096 most frequent words at most, a bit for each place.
@@ -48,8 +49,8 @@ SAMPLES = 24
 MIDDLE = 64  # texts of so many words or fewer have twice the samples
 SHORT = 24  # pairs of texts of so many words or fewer are found by runs
 SIMILARITY = 0.8
-LOCAL = 600  # texts of a bucket that one task compares with one another
-LOCAL_WORDS = 4_000_000  # and their words
+LOCAL = 2048  # texts of a bucket that one task compares with one another
+LOCAL_WORDS = 2_000_000  # and their words
 
 _COMBINE = np.array([pow(0xD6E8FEB86659FD93, j + 1, 1 << 64) for j in range(16)], np.uint64)
 
@@ -160,17 +161,17 @@ def sketch_keys(words: np.ndarray, bounds: np.ndarray, samples: int = SAMPLES, k
     return owner[order], key[order]
 
 
-def grams(w: np.ndarray) -> np.ndarray:
-    """Distinct numbers of a text's labelled word pairs, sorted."""
-    h, cuts = shingles(w.astype(np.uint64), np.array([0, len(w)]))
+def grams(w: np.ndarray, k: int = GRAM) -> np.ndarray:
+    """Distinct numbers of a text's labelled word pairs (or words, with k of 1), sorted."""
+    h, cuts = shingles(w.astype(np.uint64), np.array([0, len(w)]), k)
     out = mix(h + occurrences(h, cuts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
     out.sort()
     return out
 
 
-def least_common(n, similarity: float = SIMILARITY):
-    """The labelled word pairs that texts within the limit have in common at least, the longer one of n words."""
-    return np.maximum(1, n - (GRAM - 1) - GRAM * most_edits(n, similarity))
+def least_common(n, similarity: float = SIMILARITY, k: int = GRAM):
+    """The labelled runs of k words that texts within the limit have in common at least, the longer one of n words."""
+    return np.maximum(1, n - (k - 1) - k * most_edits(n, similarity))
 
 
 def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
@@ -249,10 +250,11 @@ def linked(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool
     most = int(most_edits(n, similarity))
     if abs(len(a) - len(b)) > most:
         return False
-    both = np.concatenate((grams(a), grams(b)))
-    both.sort()
-    if np.count_nonzero(both[1:] == both[:-1]) < least_common(n, similarity):
-        return False
+    for k in (1, GRAM):
+        both = np.concatenate((grams(a, k), grams(b, k)))
+        both.sort()
+        if np.count_nonzero(both[1:] == both[:-1]) < least_common(n, similarity, k):
+            return False
     return banded_distance(a, b, most) is not None
 
 
@@ -312,13 +314,9 @@ def components(links: DataFrame) -> tuple[DataFrame, str]:
         removed(spark, last)
 
 
-def bucket_links(words: list[np.ndarray], joined: list[int], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Links that join all of a small bucket's texts that links join, by common word pairs counted for all at once.
-
-    Texts with one number in ``joined`` are joined already.
-    """
-    sets = [grams(w) for w in words]
-    n = np.array([len(w) for w in words])
+def common_grams(words: list[np.ndarray], k: int) -> np.ndarray:
+    """How many labelled runs of k words each two texts have in common."""
+    sets = [grams(w, k) for w in words]
     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     value, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = times[column] > 1
@@ -326,27 +324,37 @@ def bucket_links(words: list[np.ndarray], joined: list[int], similarity: float =
     common = np.zeros((len(sets), len(sets)), np.float32)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    total = int(column[-1]) + 1 if len(column) else 0
-    for lo in range(0, total, 1 << 14):
-        a, b = np.searchsorted(column, (lo, lo + (1 << 14)))
-        part = np.zeros((len(sets), min(1 << 14, total - lo)), np.float32)
+    total, width = int(column[-1]) + 1 if len(column) else 0, max(1, (1 << 22) // len(sets))
+    for lo in range(0, total, width):
+        a, b = np.searchsorted(column, (lo, lo + width))
+        part = np.zeros((len(sets), min(width, total - lo)), np.float32)
         part[owner[a:b], column[a:b] - lo] = 1
         common += part @ part.T
-    near = common >= least_common(np.maximum(n[:, None], n[None]), similarity) - 0.5
-    first = {}
-    root = [first.setdefault(g, i) for i, g in enumerate(joined)]
+    return common
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
 
+def bucket_links(words: list[np.ndarray], joined: list[int], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links that join all of a small bucket's texts that links join; common words and word pairs, counted for all at once, rule out most others.
+
+    Texts with one number in ``joined`` are joined already.
+    """
+    n = np.array([len(w) for w in words])
+    longer = np.maximum(n[:, None], n[None])
+    near = np.abs(n[:, None] - n[None]) <= most_edits(longer, similarity)
+    for k in (1, GRAM):
+        near &= common_grams(words, k) >= least_common(longer, similarity, k) - 0.5
+    label = np.array(joined)
     out = []
-    for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
-        x, y = find(i), find(j)
-        if x != y and linked(words[i], words[j], similarity):
-            root[y] = x
-            out.append((int(i), int(j)))
+    for i in range(len(words)):
+        open_ = near[i] & (label != label[i])
+        open_[: i + 1] = False
+        while open_.any():
+            j = int(open_.argmax())
+            open_[j] = False
+            if banded_distance(words[i], words[j], int(most_edits(longer[i, j], similarity))) is not None:
+                label[label == label[j]] = label[i]
+                open_ &= label != label[i]
+                out.append((i, j))
     return out
 
 
@@ -369,14 +377,18 @@ def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(one.column(i).take(again) for i in range(3)), pa.array(np.full(len(g), first, np.int32)), pa.array(g.view(np.int64))], ["key", "node", "words", "first", "gram"])
 
 
-def _by_rare_pairs(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """Each bucket dealt out by its texts' rarest labelled word pairs, of which texts that are to be linked share one."""
-    rows = rows.select("key", "node", "words").join(words, "node").select("key", "node", "words", "w")
-    each = rows.mapInArrow(_gram_rows, "key bigint, node binary, words int, first int, gram bigint")
+def _by_rare_pairs(rows: DataFrame, words: DataFrame) -> tuple[DataFrame, str]:
+    """Buckets dealt out by their texts' rarest labelled word pairs, of which texts that are to be linked share one: (was, key, node, words) and the table's path.
+
+    A bucket of n texts whose parts hold n * n pairs or more, so that dealing it out saves nothing, isn't in the table.
+    """
+    each = rows.select("key", "node", "words").join(words, "node").select("key", "node", "words", "w").mapInArrow(_gram_rows, "key bigint, node binary, words int, first int, gram bigint")
     often = each.groupBy("key", "gram").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("key", "node").orderBy("n", "gram"))
     some = each.join(often, ["key", "gram"]).withColumn("place", place).filter("place <= first and n > 1")
-    return some.select("node", "words", F.xxhash64("key", "gram").alias("key")).distinct()
+    parts = some.groupBy("key", "gram").agg(F.count("*").cast("double").alias("m")).groupBy("key").agg(F.sum(F.col("m") * F.col("m")).alias("cost"))
+    worth = parts.join(rows.select("key", "n").distinct(), "key").filter(F.col("cost") < F.col("n").cast("double") * F.col("n")).select("key")
+    return written(some.join(worth, "key").select(F.col("key").alias("was"), F.xxhash64("key", "gram").alias("key"), "node", "words").distinct(), "dealt")
 
 
 def _by_blocks(rows: DataFrame) -> DataFrame:
@@ -428,12 +440,12 @@ def _links(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, str]:
     roots = keep(components(found))
     large = keep(_undecided(rows.select("key", "node", "words"), roots, 3))  # of two, the leader was compared with the other
     small = large.filter(_fits())
-    for dealt in (lambda x: _by_rare_pairs(x, words), _by_blocks):
-        large = large.filter(~_fits())
-        if large.isEmpty():
-            break
-        large = keep(_undecided(dealt(large), roots, 2))
-        small = small.unionByName(large.filter(_fits()) if dealt is not _by_blocks else large)
+    large = large.filter(~_fits())
+    if not large.isEmpty():
+        dealt = keep(_by_rare_pairs(large, words))
+        parts = keep(_undecided(dealt.select("key", "node", "words"), roots, 2))
+        whole = large.join(dealt.select(F.col("was").alias("key")).distinct(), "key", "left_anti").unionByName(parts.filter(~_fits()))
+        small = small.unionByName(parts.filter(_fits())).unionByName(keep(_undecided(_by_blocks(whole), roots, 2)))
     local = small.select("key", "node", "root").join(words, "node").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").groupBy("key").applyInPandas(_solve, "a binary, b binary")
     out = written(found.unionByName(local).distinct(), "links")
     for path in temporary:
