@@ -1,11 +1,13 @@
 """The diversity engine: goldens, files, edge cases, and the registered queries against DuckDB."""
 
+import gzip
 import math
 import os
 
 import duckdb
 import pytest
 
+from varidia import cli
 from varidia.functions.codons import CODE, CODONS, pair_class, site_shares
 from varidia.functions.counts import PAIRS
 from varidia.operators.cds import chunks, overlapping_positions
@@ -13,7 +15,7 @@ from varidia.operators.coding import transcript_statistics
 from varidia.operators.pileup import merge_records, minor_allele_filter, pooled_pairs
 from varidia.plans.analysis import analyse_files, diversity
 from varidia.plans.queries import ORACLES, QUERIES, RATES
-from varidia.sources.readers import read_rates, read_sync, read_vcf
+from varidia.sources.readers import read_fasta, read_rates, read_sync, read_vcf
 from varidia.sources.writers import write_sync
 
 SF = "/root/testdata/sf0.001"
@@ -47,6 +49,32 @@ def test_pi_only_and_written_reports(spark, files, tmp_path):
     assert os.path.isdir(tmp_path / "x_samples") and os.path.isdir(tmp_path / "x_sites" / "contig=c1")
 
 
+def test_command_line_and_gzip(spark, files, tmp_path):
+    """Written reports, which share stored statistics, equal the lazy ones."""
+    packed = tmp_path / "v.vcf.gz"
+    packed.write_bytes(gzip.compress((files / "v.vcf").read_bytes()))
+    assert cli.main(["-v", str(packed), "-r", str(files / "r.fasta"), "-g", str(files / "a.gtf"), "-o", str(tmp_path / "run"), "--maf", "0"]) == 0
+    lazy = analyse_files(spark, str(files / "v.vcf"), str(files / "r.fasta"), str(files / "a.gtf"), maf=0.0)
+    for name, df in (("genes", lazy.genes), ("samples", lazy.samples)):
+        got, want = spark.read.csv(str(tmp_path / f"run_{name}"), header=True).collect(), df.collect()
+        assert len(got) == len(want) == 1 and float(got[0]["piN"]) == pytest.approx(want[0]["piN"], abs=1e-12)
+    assert lazy.genes.first()["chunk_id"] == 0
+    assert spark.read.csv(str(tmp_path / "run_sites"), header=True).count() == 3
+
+
+def test_region_of_a_vcf(spark, files):
+    assert {r["pos"] for r in read_vcf(spark, str(files / "v.vcf"), region=("c1", 5, 8)).collect()} == {5}
+    assert read_vcf(spark, str(files / "v.vcf"), region=("c", 0, 100)).isEmpty()
+
+
+def test_folder_of_fasta_files(spark, tmp_path):
+    (tmp_path / "a.fasta").write_text(">c1 one\nACG\nT\n>c2\nGG\n")
+    (tmp_path / "b.fasta").write_text("; text before\n>c3\nTTT\n")
+    blocks, contigs = read_fasta(spark, str(tmp_path))
+    assert {(r["contig"], r["length"]) for r in contigs.collect()} == {("c1", 4), ("c2", 2), ("c3", 3)}
+    assert {(r["contig"], r["seq"]) for r in blocks.collect()} == {("c1", "ACGT"), ("c2", "GG"), ("c3", "TTT")}
+
+
 def test_codon_goldens():
     share = site_shares()
     assert [share["CTG", i] for i in range(3)] == [pytest.approx((1 / 3, 2 / 3)), pytest.approx((0, 1)), pytest.approx((1, 0))]

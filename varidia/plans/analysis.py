@@ -12,6 +12,7 @@ from ..operators.coding import rejected_transcripts, transcript_statistics
 from ..operators.diversity import contig_pi, sample_pi
 from ..operators.pileup import minor_allele_filter, site_diversity
 from ..sources.readers import check_contigs, read_fasta, read_gtf, read_rates, read_vcf
+from ..sources.shared import stored
 from ..sources.writers import write_reports
 from .reports import contigs_report, first_transcripts, genes_report, samples_report, sites_report
 
@@ -35,19 +36,23 @@ class Diversity:
 
 def diversity(
     pileup: DataFrame, reference: DataFrame, contigs: DataFrame, exons: DataFrame | None = None, maf: float = MAF, rates: Rates | None = None,
-    include_stop_codons: bool = False, pi_only: bool = False, chunk_size: int = CHUNK,
+    include_stop_codons: bool = False, pi_only: bool = False, chunk_size: int = CHUNK, store: bool = False,
 ) -> Diversity:
-    """Reports on a pileup (sample_id, contig, pos, a, c, g, t) with unfiltered counts."""
-    counts = minor_allele_filter(pileup, maf)
+    """Reports on a pileup (sample_id, contig, pos, a, c, g, t) with unfiltered counts.
+
+    With store, filtered counts and transcript statistics are written once to the shared folder, and all reports read them there.
+    """
+    keep = stored if store else lambda df, name: df
+    counts = keep(minor_allele_filter(pileup, maf), "counts")
     sites = site_diversity(counts)
     of_samples, of_contigs = sample_pi(sites, contigs), contig_pi(sites, contigs)
     if exons is None or pi_only:
         return Diversity(of_samples, of_contigs, sites_report(sites))
-    stats = transcript_statistics(counts, exons, reference, rates, include_stop_codons)
+    stats = keep(transcript_statistics(counts, exons, reference, rates, include_stop_codons), "transcripts")
     first = first_transcripts(stats, contigs)
     return Diversity(
         samples_report(of_samples, first), contigs_report(of_contigs, first), sites_report(sites),
-        genes_report(stats, chunks(exons, contigs, chunk_size)), rejected_transcripts(exons),
+        genes_report(stats, chunks(exons, contigs, chunk_size), exons), rejected_transcripts(exons),
     )
 
 
@@ -55,14 +60,14 @@ def analyse_files(
     spark: SparkSession, vcf_file: str, ref_fasta: str, gtf_file: str | None = None, output_file_prefix: str | None = None, maf: float = MAF, mutation_rates=None,
     include_stop_codons: bool = False, pi_only: bool = False, chunk_size: int = CHUNK, rd_merge: str = "sum",
 ) -> Diversity:
-    """Reports on a VCF with RD and AD fields, a FASTA and a GTF; written under the prefix if one is given."""
+    """Reports on a VCF with RD and AD fields, a FASTA and a GTF; written under the prefix if one is given, from one parse of the VCF."""
     reference, contigs = read_fasta(spark, ref_fasta)
     exons = None
     if gtf_file and not pi_only:
         exons = read_gtf(spark, gtf_file)
         check_contigs(exons, contigs)
     rates = read_rates(mutation_rates) if mutation_rates is not None else None
-    out = diversity(read_vcf(spark, vcf_file, rd_merge), reference, contigs, exons, maf, rates, include_stop_codons, pi_only, chunk_size)
+    out = diversity(read_vcf(spark, vcf_file, rd_merge), reference, contigs, exons, maf, rates, include_stop_codons, pi_only, chunk_size, store=output_file_prefix is not None)
     if output_file_prefix:
         out.write(output_file_prefix)
     return out

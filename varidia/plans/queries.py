@@ -7,8 +7,6 @@ than the operators'.
 from __future__ import annotations
 
 from collections.abc import Callable
-from tempfile import mkdtemp
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.codons import AMINO_ACIDS, codon_pairs, codon_sites, codon_translation
 from ..operators import cds, coding, diversity, pileup
 from ..sources import readers, writers
+from ..sources.shared import shared_path
 from . import derived, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,9 +62,7 @@ def _sync_back(spark, sf) -> DataFrame:
 
 def _text(spark: SparkSession, lines: list[str]) -> str:
     """A text file in the folder that driver and executors share."""
-    sc = spark.sparkContext
-    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or f"file://{mkdtemp(prefix='varidia-')}"
-    path = f"{folder}/text-{uuid4().hex}"
+    path = shared_path(spark, "text")
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
     return path
 
@@ -124,7 +121,7 @@ QUERIES: dict[str, Query] = {
     "transcript_no_overlap": lambda s, d: rounded(_stats(s, d).select(*STATS, "transcript_len_no_overlap", *coding.NO_OVERLAP)),
     "bad_length_transcripts": lambda s, d: coding.rejected_transcripts(derived.exons(s, d)),
     "first_transcript": lambda s, d: _first(s, d).select("sample_id", "contig", "gene_id", "transcript_id"),
-    "gene_report": lambda s, d: rounded(reports.genes_report(_stats(s, d), cds.chunks(derived.exons(s, d), derived.contigs(s, d), 20))),
+    "gene_report": lambda s, d: rounded(reports.genes_report(_stats(s, d), cds.chunks(derived.exons(s, d), derived.contigs(s, d), 20), derived.exons(s, d))),
     "sample_report": lambda s, d: rounded(reports.samples_report(diversity.sample_pi(_sites(s, d), derived.contigs(s, d)), _first(s, d))),
     "contig_report": lambda s, d: rounded(reports.contigs_report(diversity.contig_pi(_sites(s, d), derived.contigs(s, d)), _first(s, d))),
     "site_long": lambda s, d: rounded(reports.sites_report(_sites(s, d))),

@@ -12,9 +12,9 @@ from ..functions.counts import BASES
 from ..operators.pileup import BLOCK, KEY
 
 
-def _ordered(df: DataFrame) -> DataFrame:
+def _ordered(df: DataFrame, *more: Column) -> DataFrame:
     """Rows with ``ord``, which follows the order of the file."""
-    return df.select("value", F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("ord"))
+    return df.select("value", *more, F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("ord"))
 
 
 def _fasta_blocks(title_and_seq: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -32,11 +32,12 @@ def _fasta_blocks(title_and_seq: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read_fasta(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Blocks (contig, block, seq) and contigs (contig, contig_ord, length); a record is one row, read in parallel.
 
-    Text before the first record is skipped; spaces inside sequences are dropped; letters become capitals.
+    path may be a folder of files. Text before a file's first record is skipped; spaces inside sequences are dropped; letters become capitals.
     """
-    rows = _ordered(spark.read.option("lineSep", "\n>").text(path))
-    start = rows.agg(F.min("ord").alias("__first"))
-    rows = rows.crossJoin(F.broadcast(start)).filter((F.col("ord") != F.col("__first")) | F.col("value").startswith(">"))
+    file = F.col("_metadata.file_path").alias("file")
+    rows = _ordered(spark.read.option("lineSep", "\n>").text(path), file)
+    start = rows.groupBy("file").agg(F.min("ord").alias("__first"))
+    rows = rows.join(start, "file").filter((F.col("ord") != F.col("__first")) | F.col("value").startswith(">"))
     value = F.when(F.col("ord") == F.col("__first"), F.substr("value", F.lit(2))).otherwise(F.col("value"))
     rows = rows.select(value.alias("value"), "ord").filter(F.length("value") > 0)
     title = F.regexp_replace(F.substring_index("value", "\n", 1), r"\r", "")
@@ -83,11 +84,12 @@ def read_vcf(spark: SparkSession, path: str, rd_merge: str = "sum", region: tupl
         raise ValueError(f"rd_merge is sum or max, not {rd_merge}")
     lines = spark.read.text(path)
     names = vcf_samples(lines)
+    if region:  # before lines are split
+        pos = F.substring_index(F.substring_index("value", "\t", 2), "\t", -1).cast("long") - 1
+        lines = lines.filter(F.col("value").startswith(f"{region[0]}\t") & (pos >= region[1]) & (pos < region[2]))
     f = F.split(F.rtrim("value"), "\t")
     rows = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("f", f)
     rows = rows.withColumns({"contig": F.col("f")[0], "pos": F.col("f")[1].cast("long") - 1, "ref": F.upper(F.col("f")[3]), "alts": F.split(F.upper(F.col("f")[4]), ","), "fmt": F.split(F.col("f")[8], ":")})
-    if region:
-        rows = rows.filter((F.col("contig") == region[0]) & (F.col("pos") >= region[1]) & (F.col("pos") < region[2]))
     rows = rows.select("contig", "pos", "ref", "alts", "fmt", F.posexplode(F.slice("f", 10, max(len(names), 1))).alias("k", "v"))
     field = lambda n: F.get(F.split("v", ":"), (F.array_position("fmt", n) - 1).cast("int"))
     number = lambda c: F.greatest(F.coalesce(c.try_cast("long"), F.lit(0)), F.lit(0))
