@@ -257,6 +257,18 @@ def test_one_first_word_is_no_hot_key(spark):
     assert placed[0].groupBy("pair").count().agg(F.max("count")).first()[0] == 1 and placed[0].count() == 16_000
 
 
+def test_pairs_are_shuffled_once(spark):
+    """Counting, both joins and the sums read one exchange of the exploded pairs, whichever words are rare."""
+    rng = np.random.default_rng(31)
+    df = spark.createDataFrame([(i, " ".join(f"w{n}" for n in rng.zipf(1.3, 60) % 500)) for i in range(200)], "doc_id long, text string")
+    out = lmscore.score_documents(df, min_count=1, top=40, heavy=4)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    made = [line for line in plan.splitlines() if "REPARTITION_BY_COL" in line and "ReusedExchange" not in line]
+    reused = [line for line in plan.splitlines() if "ReusedExchange" in line and "REPARTITION_BY_COL" in line]
+    assert len(made) == 1 and len(reused) == 2
+
+
 def test_lm_query_counts_pairs_that_occur_once(spark, tmp_path):
     texts = {1: "a b c a b d", 2: "A b e", 3: "rare once", 4: "c", 5: "", 6: None}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
