@@ -2,6 +2,7 @@
 
 from .audio import op2_audio
 from .chat import OP9_SQL, op9_chat
+from .divergence import OP11_SQL, op11_divergence
 from .htmltext import op10_htmltext
 from .langid import op6_langid
 from .lmscore import op3_lmscore
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_chat": op9_chat,
     "op10_htmltext": op10_htmltext,
+    "op11_divergence": op11_divergence,
 }
 
-ORACLES = {"op8_mixing": OP8_SQL, "op9_chat": OP9_SQL}
+ORACLES = {"op8_mixing": OP8_SQL, "op9_chat": OP9_SQL, "op11_divergence": OP11_SQL}
