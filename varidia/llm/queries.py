@@ -2,6 +2,7 @@
 
 from .audio import op2_audio
 from .chat import OP9_SQL, op9_chat
+from .collocations import OP12_SQL, op12_collocations
 from .divergence import OP11_SQL, op11_divergence
 from .htmltext import op10_htmltext
 from .langid import op6_langid
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_htmltext": op10_htmltext,
     "op11_divergence": op11_divergence,
+    "op12_collocations": op12_collocations,
 }
 
-ORACLES = {"op8_mixing": OP8_SQL, "op9_chat": OP9_SQL, "op11_divergence": OP11_SQL}
+ORACLES = {"op8_mixing": OP8_SQL, "op9_chat": OP9_SQL, "op11_divergence": OP11_SQL, "op12_collocations": OP12_SQL}
