@@ -12,6 +12,7 @@ from .neardup import op7_neardup
 from .packing import op1_packing
 from .phrases import op5_phrases
 from .quality import op4_quality
+from .toxicity import op13_toxicity
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_htmltext": op10_htmltext,
     "op11_divergence": op11_divergence,
     "op12_collocations": op12_collocations,
+    "op13_toxicity": op13_toxicity,
 }
 
 ORACLES = {"op8_mixing": OP8_SQL, "op9_chat": OP9_SQL, "op11_divergence": OP11_SQL, "op12_collocations": OP12_SQL}
