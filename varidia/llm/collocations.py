@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import blocks, mix
-from ._grams import BLOCK, Buckets, bitmap, byte_classes, hashes, is_set, reached, runs, words
+from ._grams import Buckets, bitmap, byte_classes, hashes, is_set, reached, runs, words
 from ._shared import removed, written
 
 LONGEST = 4
@@ -30,7 +30,8 @@ MIN_COUNT = 30
 SHARE = 80
 TOP = 2000
 BITS, FREQUENT_BITS = 25, 26
-HELD = 1 << 20
+HELD = 1 << 18
+PIECE = 2 << 20  # bytes of text at a time
 _MARKS = byte_classes([range(0, 9), range(14, 32), range(33, 256)], [*b".,;:!?", *range(0x0A, 0x0E)])
 _ROWS = "lang string, phrase string, h bigint, n bigint, part int, places binary, counts binary"
 _NAMES = ["lang", "phrase", "h", "n", "part", "places", "counts"]
@@ -97,7 +98,7 @@ def _pass(docs: DataFrame, k: int, frequent: np.ndarray | None, bucket: np.ndarr
             c = b.column(1).dictionary_encode()
             langs, lang = c.dictionary, np.asarray(c.indices, np.int64)
             number = hashes(langs.cast(pa.large_binary()))
-            for lo, hi, data, offs in blocks(b.column(0), BLOCK):
+            for lo, hi, data, offs in blocks(b.column(0), PIECE):
                 of, phrase, h, n = _grams(data, offs, lang[lo:hi], number, k, *shared.value, bits, next_buckets)
                 if len(n):
                     held.append(pa.table([langs.take(pa.array(of)), phrase.cast(pa.large_string()), pa.array(h.astype(np.int64)), pa.array(n, pa.int64())], names=["lang", "phrase", "h", "n"]))
