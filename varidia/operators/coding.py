@@ -102,6 +102,27 @@ def transcript_statistics(pileup: DataFrame, exons: DataFrame, reference: DataFr
     )
 
 
+def pair_classes(exons: DataFrame, reference: DataFrame) -> DataFrame:
+    """(contig, pos, non, syn): for each coding base whether pairs of bases, in the order of PAIRS on the plus strand, change the reference codon's amino acid.
+
+    A base of several transcripts has the classes of the one whose id comes first.
+    """
+    bases = coding_bases(exons, reference)
+    strand_ref = F.when(F.col("strand") == "-", complement(F.col("ref"))).otherwise(F.col("ref"))
+    places = [F.struct(F.lit(i).alias("i"), F.max(F.when(F.col("codon_pos") == i, F.col("pos"))).alias("pos")) for i in range(3)]
+    codons = bases.groupBy(*TRANSCRIPT, "strand", "codon_idx").agg(_codon(strand_ref).alias("codon"), F.array(*places).alias("at"))
+    table = F.broadcast(codon_rows(exons.sparkSession).select("codon", "syn", "non"))  # 64 rows
+    rows = codons.join(table, "codon").select("contig", "transcript_id", "strand", "syn", "non", F.inline("at"))
+    minus = [PAIRS.index("".join(sorted(p.translate(str.maketrans("acgt", "tgca"))))) for p in PAIRS]
+
+    def of(kind: str) -> Column:
+        own = [F.col(kind)[F.col("i") * len(PAIRS) + k] for k in range(len(PAIRS))]
+        return F.when(F.col("strand") == "-", F.array(*(own[k] for k in minus))).otherwise(F.array(*own)).alias(kind)
+
+    rows = rows.select("contig", "pos", "transcript_id", F.struct(of("non"), of("syn")).alias("x"))
+    return rows.groupBy("contig", "pos").agg(F.min_by("x", "transcript_id").alias("x")).select("contig", "pos", "x.non", "x.syn")
+
+
 def rejected_transcripts(exons: DataFrame) -> DataFrame:
     """Transcripts whose coding length isn't of whole codons."""
     return transcripts(exons).filter(F.col("transcript_len") % 3 != 0).select("contig", "transcript_id", "transcript_len")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codons import AMINO_ACIDS, codon_pairs, codon_sites, codon_translation
-from ..operators import cds, coding, diversity, pileup
+from ..operators import cds, coding, diversity, fst, pileup
 from ..sources import readers, writers
 from ..sources.shared import shared_path
 from . import derived, reports
@@ -88,6 +88,11 @@ def _vcf(spark, sf) -> DataFrame:
     return readers.read_vcf(spark, _text(spark, VCF))
 
 
+def _fst(spark, sf, by_contig: bool = False, coding_sites: bool = False, block: int = fst.BLOCK) -> DataFrame:
+    classes = coding.pair_classes(derived.exons(spark, sf), derived.reference(spark, sf)) if coding_sites else None
+    return rounded(fst.fst(derived.filtered(spark, sf), classes, by_contig=by_contig, block=block))
+
+
 STATS = ["sample_id", "contig", "transcript_id"]
 
 QUERIES: dict[str, Query] = {
@@ -128,6 +133,9 @@ QUERIES: dict[str, Query] = {
     "site_wide": lambda s, d: rounded(reports.wide_sites(_sites(s, d), "ctg0", list(range(100)))),
     "record_counts": lambda s, d: pileup.record_counts(derived.pileup(s, d)),
     "pairwise_pooled_pi": lambda s, d: rounded(_pooled(s, d)),
+    "fst_pairs": _fst,
+    "fst_contigs": lambda s, d: _fst(s, d, by_contig=True, block=2),
+    "fst_coding": lambda s, d: _fst(s, d, coding_sites=True),
     "sync_format": lambda s, d: writers.to_sync(derived.pileup(s, d), derived.reference(s, d), [f"s{i}" for i in range(5)]),
     "sync_parse": _sync_back,
     "fasta_parse": _fasta,
@@ -207,6 +215,22 @@ st AS (SELECT s.sample_id, tr.contig, tr.transcript_id, tr.gene_id, tr.len AS tr
 fst AS (SELECT * FROM st WHERE pi IS NOT NULL QUALIFY row_number() OVER (PARTITION BY contig, gene_id, sample_id ORDER BY first_pos, file_ord, transcript_id) = 1)"""
 
 
+_FST_SQL = f"""{_BASE}, {_CODE}, {_PAIRS_SQL},
+cd AS (SELECT p.contig, p.transcript_id, p.strand, p.pos, CAST(cds_idx % 3 AS INTEGER) AS cp, string_agg(CASE WHEN p.strand = '-' THEN translate(base, 'ACGT', 'TGCA') ELSE base END, '') OVER (PARTITION BY p.contig, p.transcript_id, cds_idx // 3 ORDER BY cds_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS codon
+  FROM cdspos p JOIN tr ON tr.contig = p.contig AND tr.transcript_id = p.transcript_id AND tr.len % 3 = 0 JOIN base b ON b.contig = p.contig AND b.pos = p.pos),
+pk AS (SELECT * FROM cd QUALIFY row_number() OVER (PARTITION BY contig, pos ORDER BY transcript_id) = 1),
+two AS (SELECT pair, upper(pair[1]) AS x, upper(pair[2]) AS y FROM pairs),
+cls AS (SELECT pk.contig, pk.pos, two.pair, k.is_syn, k.is_nonsyn FROM pk, two JOIN classes k ON k.codon = pk.codon AND k.codon_pos = pk.cp
+  AND k.pair = CASE WHEN pk.strand = '-' THEN CASE two.pair WHEN 'ac' THEN 'gt' WHEN 'ag' THEN 'ct' WHEN 'ct' THEN 'ag' WHEN 'gt' THEN 'ac' ELSE two.pair END ELSE two.pair END),
+ln AS (SELECT sample_id, contig, pos, CAST(depth AS DOUBLE) AS d, unnest(['A','C','G','T']) AS nuc, CAST(unnest([a, c, g, t]) AS DOUBLE) AS n FROM site WHERE depth > 1),
+wd AS (SELECT l.sample_id, l.contig, l.pos, two.pair, l.d, l.n AS nx, r.n AS ny FROM two JOIN ln l ON l.nuc = two.x JOIN ln r ON r.nuc = two.y AND r.sample_id = l.sample_id AND r.contig = l.contig AND r.pos = l.pos),
+both2 AS (SELECT p.sample_id AS sample_1, q.sample_id AS sample_2, p.contig, p.pos, p.pair, (2 * p.nx * p.ny / (p.d * (p.d - 1)) + 2 * q.nx * q.ny / (q.d * (q.d - 1))) / 2 AS w, (p.nx * q.ny + p.ny * q.nx) / (p.d * q.d) AS b
+  FROM wd p JOIN wd q ON q.contig = p.contig AND q.pos = p.pos AND q.pair = p.pair AND q.sample_id > p.sample_id),
+kinds AS (SELECT sample_1, sample_2, contig, pos, 'all' AS kind, w, b FROM both2 UNION ALL SELECT sample_1, sample_2, b.contig, b.pos, u.kind, w, b.b FROM both2 b JOIN cls USING (contig, pos, pair), (VALUES ('N'), ('S')) u(kind)
+  WHERE CASE u.kind WHEN 'N' THEN is_nonsyn ELSE is_syn END = 1)"""
+_FST = "CAST(count(DISTINCT contig || ':' || pos) AS BIGINT) AS n_sites, round(CASE WHEN sum(b) > 1e-12 THEN 1 - sum(w) / sum(b) END, 8) AS fst FROM kinds"
+
+
 def _r(*names: str) -> str:
     return ", ".join(f'round("{n}", {DIGITS}) AS "{n}"' for n in names)
 
@@ -270,6 +294,9 @@ ORACLES: dict[str, str] = {
   SELECT s1.sample_id AS sample_1, s2.sample_id AS sample_2, v.contig, v.pos, {", ".join(f"coalesce(p1.{b}, 0) + coalesce(p2.{b}, 0) AS {b}" for b in "acgt")}, {" + ".join(f"coalesce(p1.{b}, 0) + coalesce(p2.{b}, 0)" for b in "acgt")} AS d
   FROM samples s1 CROSS JOIN samples s2 CROSS JOIN (SELECT DISTINCT contig, pos FROM pile) v LEFT JOIN pile p1 ON p1.sample_id = s1.sample_id AND p1.contig = v.contig AND p1.pos = v.pos
   LEFT JOIN pile p2 ON p2.sample_id = s2.sample_id AND p2.contig = v.contig AND p2.pos = v.pos WHERE p1.pos IS NOT NULL OR p2.pos IS NOT NULL) GROUP BY 1, 2""",
+    "fst_pairs": f"WITH {_FST_SQL} SELECT sample_1, sample_2, kind, {_FST} WHERE kind = 'all' GROUP BY 1, 2, 3",
+    "fst_contigs": f"WITH {_FST_SQL} SELECT sample_1, sample_2, contig, kind, {_FST} WHERE kind = 'all' GROUP BY 1, 2, 3, 4",
+    "fst_coding": f"WITH {_FST_SQL} SELECT sample_1, sample_2, kind, {_FST} GROUP BY 1, 2, 3",
     "sync_format": _WITH + f'SELECT contig AS "Contig", pos + 1 AS "Position", base AS "Ref", {_SYNC} FROM raw JOIN base USING (contig, pos) GROUP BY 1, 2, 3',
     "sync_parse": _WITH + "SELECT s.sample_id, v.contig, v.pos, coalesce(a, 0) AS a, coalesce(c, 0) AS c, coalesce(g, 0) AS g, coalesce(t, 0) AS t FROM samples s CROSS JOIN (SELECT DISTINCT contig, pos FROM raw) v LEFT JOIN raw r ON r.sample_id = s.sample_id AND r.contig = v.contig AND r.pos = v.pos",
     "fasta_parse": "SELECT * FROM (VALUES ('c1', 0, CAST(15 AS BIGINT), 'ATGTTTTATGGGTGG'), ('c2', 1, CAST(5 AS BIGINT), 'ACGTN')) t(contig, contig_ord, length, seq)",
