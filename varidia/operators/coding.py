@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codons import Rates, codon_rows
@@ -17,6 +17,7 @@ from ..functions.counts import BASES, COUNTS, PAIRS, complement, consensus, freq
 from .cds import TRANSCRIPT, cds_positions, overlapping_positions, transcripts
 from .pileup import attach_base
 
+CODON = [*TRANSCRIPT, "codon_idx"]
 STATS = ["pi", "piN", "piS", "N_sites", "S_sites"]
 NO_OVERLAP = [f"{s}_no_overlap" for s in STATS]
 
@@ -34,27 +35,21 @@ def coding_bases(exons: DataFrame, reference: DataFrame) -> DataFrame:
     return df.select(*TRANSCRIPT, "strand", "pos", F.floor(F.col("cds_idx") / 3).cast("long").alias("codon_idx"), (F.col("cds_idx") % 3).cast("int").alias("codon_pos"), base.alias("ref"))
 
 
-def transcript_statistics(pileup: DataFrame, exons: DataFrame, reference: DataFrame, rates: Rates | None = None, include_stops: bool = False, samples: DataFrame | None = None) -> DataFrame:
-    """A row for each sample and transcript: lengths and the ten statistics (null if the length isn't of whole codons).
-
-    pileup has filtered counts; its sites are the variant sites. samples defaults to those of pileup.
-    """
-    spark = pileup.sparkSession
-    samples = pileup.select("sample_id").distinct() if samples is None else samples.select("sample_id")
-    table = F.broadcast(codon_rows(spark, rates, include_stops))  # 64 rows
+def _marked_codons(pileup: DataFrame, exons: DataFrame, reference: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Coding bases with is_var and in_overlap, and the codons of the reference with affected: whether one of their bases is a variant site."""
     bases = coding_bases(exons, reference)
     variable = pileup.select("contig", "pos").distinct().withColumn("is_var", F.lit(True))
     overlaps = overlapping_positions(exons).withColumn("in_overlap", F.lit(True))
     strand_ref = F.when(F.col("strand") == "-", complement(F.col("ref"))).otherwise(F.col("ref"))
-
     marked = bases.join(variable, ["contig", "pos"], "left").join(overlaps, ["contig", "pos"], "left")
     marked = marked.withColumns({"is_var": F.coalesce("is_var", F.lit(False)), "in_overlap": F.coalesce("in_overlap", F.lit(False))})
-    by = [*TRANSCRIPT, "codon_idx"]
-    codons = marked.groupBy(*by).agg(_codon(strand_ref).alias("codon"), F.max("is_var").alias("affected")).join(table.select("codon", "s_all", "n_all"), "codon", "left")
-    zero = F.lit(0.0)
-    base_sites = codons.groupBy(*TRANSCRIPT).agg(*(F.sum(F.when(~F.col("affected"), F.coalesce(k, zero)).otherwise(zero)).alias(k) for k in ("n_all", "s_all")))
+    return marked, marked.groupBy(*CODON).agg(_codon(strand_ref).alias("codon"), F.max("is_var").alias("affected")).join(table.select("codon", "s_all", "n_all"), "codon", "left")
+
 
-    hit = marked.join(codons.filter("affected").select(*by), by, "left_semi").crossJoin(samples)
+def _sample_codons(marked: DataFrame, codons: DataFrame, pileup: DataFrame, samples: DataFrame, table: DataFrame) -> DataFrame:
+    """Affected codons of each sample with the table's arrays, and of its bases, as x0 to x2, frequencies, shares of pairs and flags."""
+    zero = F.lit(0.0)
+    hit = marked.join(codons.filter("affected").select(*CODON), CODON, "left_semi").crossJoin(samples)
     reads = hit.join(pileup, ["sample_id", "contig", "pos"], "left").fillna(0, list(COUNTS))
     minus = F.col("strand") == "-"
     forward = [frequency(b, F.col("ref")) for b in BASES]
@@ -63,23 +58,62 @@ def transcript_statistics(pileup: DataFrame, exons: DataFrame, reference: DataFr
     site = F.struct(
         F.when(minus, F.array(*forward[::-1])).otherwise(F.array(*forward)).alias("f"),
         F.when(minus, F.array(*(pair_share[other[p]] for p in PAIRS))).otherwise(F.array(*(pair_share[p] for p in PAIRS))).alias("p"),
-        site_pi().alias("pi"), "is_var", (F.col("in_overlap") & F.col("is_var")).alias("out"),
+        site_pi().alias("pi"), "is_var", (F.col("in_overlap") & F.col("is_var")).alias("out"), "pos",
     )
     called = consensus(F.col("ref"))
-    reads = reads.select("sample_id", *by, "codon_pos", F.when(minus, complement(called)).otherwise(called).alias("base"), site.alias("x"))
-    three = reads.groupBy("sample_id", *by).agg(_codon(F.col("base")).alias("codon"), *(F.max(F.when(F.col("codon_pos") == i, F.col("x"))).alias(f"x{i}") for i in range(3)))
-    three = three.join(table, "codon", "left")
+    reads = reads.select("sample_id", *CODON, "codon_pos", F.when(minus, complement(called)).otherwise(called).alias("base"), site.alias("x"))
+    three = reads.groupBy("sample_id", *CODON).agg(_codon(F.col("base")).alias("codon"), *(F.max(F.when(F.col("codon_pos") == i, F.col("x"))).alias(f"x{i}") for i in range(3)))
+    return three.join(table, "codon", "left")
+
+
+def _dot(values: str, table_column: str, i: int, n: int) -> Column:
+    terms = [F.col(f"x{i}.{values}")[k] * F.coalesce(F.col(table_column)[i * n + k], F.lit(0)) for k in range(n)]
+    return reduce(lambda a, b: a + b, terms)
+
+
+#: of base i of a codon: sites and differences
+_PARTS = {"n": lambda i: _dot("f", "n", i, 4), "s": lambda i: _dot("f", "s", i, 4), "pn": lambda i: _dot("p", "non", i, 6), "ps": lambda i: _dot("p", "syn", i, 6), "pi": lambda i: F.col(f"x{i}.pi")}
 
-    def dot(values: str, table_column: str, i: int, n: int) -> Column:
-        terms = [F.col(f"x{i}.{values}")[k] * F.coalesce(F.col(table_column)[i * n + k], F.lit(0)) for k in range(n)]
-        return reduce(lambda a, b: a + b, terms)
+
+def coding_site_values(pileup: DataFrame, exons: DataFrame, reference: DataFrame, rates: Rates | None = None, include_stops: bool = False, samples: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Sites and differences of single coding bases: (contig, transcript_id, pos, n_sites, s_sites) of the codons that no variant site
+    affects, which all samples share, and (sample_id, contig, transcript_id, pos, n_sites, s_sites, pn, ps) of the others."""
+    samples = pileup.select("sample_id").distinct() if samples is None else samples.select("sample_id")
+    table = F.broadcast(codon_rows(pileup.sparkSession, rates, include_stops))  # 64 rows
+    marked, codons = _marked_codons(pileup, exons, reference, table)
+    place = F.col("codon_pos") * len(BASES) + F.array_position(F.array(*map(F.lit, BASES)), F.substr("codon", F.col("codon_pos") + 1, F.lit(1))).cast("int") - 1
+    known = codons.filter(~F.col("affected")).select(*CODON, "codon").join(table.select("codon", "n", "s"), "codon")
+    constant = marked.select(*CODON, "codon_pos", "pos").join(known, CODON).select(*TRANSCRIPT, "pos", F.col("n")[place].alias("n_sites"), F.col("s")[place].alias("s_sites"))
+    three = _sample_codons(marked, codons, pileup, samples, table)
+    names = {"n": "n_sites", "s": "s_sites", "pn": "pn", "ps": "ps"}
+    each = [F.struct(F.col(f"x{i}.pos").alias("pos"), *(_PARTS[k](i).alias(v) for k, v in names.items())) for i in range(3)]
+    return constant, three.select("sample_id", *TRANSCRIPT, F.inline(F.array(*each)))
+
+
+def gene_exons(exons: DataFrame) -> DataFrame:
+    """The exons of each gene's first transcript of whole codons, by start, then place in the file."""
+    order = Window.partitionBy("contig", "gene_id").orderBy("first_pos", "file_ord", "transcript_id")
+    first = transcripts(exons).filter(F.col("transcript_len") % 3 == 0).withColumn("__n", F.row_number().over(order)).filter("__n = 1")
+    return exons.join(first.select(*TRANSCRIPT), TRANSCRIPT, "left_semi")
+
+
+def transcript_statistics(pileup: DataFrame, exons: DataFrame, reference: DataFrame, rates: Rates | None = None, include_stops: bool = False, samples: DataFrame | None = None) -> DataFrame:
+    """A row for each sample and transcript: lengths and the ten statistics (null if the length isn't of whole codons).
+
+    pileup has filtered counts; its sites are the variant sites. samples defaults to those of pileup.
+    """
+    samples = pileup.select("sample_id").distinct() if samples is None else samples.select("sample_id")
+    table = F.broadcast(codon_rows(pileup.sparkSession, rates, include_stops))  # 64 rows
+    zero = F.lit(0.0)
+    marked, codons = _marked_codons(pileup, exons, reference, table)
+    base_sites = codons.groupBy(*TRANSCRIPT).agg(*(F.sum(F.when(~F.col("affected"), F.coalesce(k, zero)).otherwise(zero)).alias(k) for k in ("n_all", "s_all")))
+    three = _sample_codons(marked, codons, pileup, samples, table)
 
     def total(part, only_out: bool = False) -> Column:
         return F.sum(reduce(lambda a, b: a + b, [F.when(F.col(f"x{i}.out"), part(i)).otherwise(zero) if only_out else part(i) for i in range(3)]))
 
-    parts = {"n": lambda i: dot("f", "n", i, 4), "s": lambda i: dot("f", "s", i, 4), "pn": lambda i: dot("p", "non", i, 6), "ps": lambda i: dot("p", "syn", i, 6), "pi": lambda i: F.col(f"x{i}.pi")}
     sums = three.groupBy("sample_id", *TRANSCRIPT).agg(
-        *(total(f).alias(f"v_{k}") for k, f in parts.items()), *(total(f, True).alias(f"o_{k}") for k, f in parts.items()),
+        *(total(f).alias(f"v_{k}") for k, f in _PARTS.items()), *(total(f, True).alias(f"o_{k}") for k, f in _PARTS.items()),
         total(lambda i: F.lit(1.0), True).cast("long").alias("o_len"),
     )
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codons import AMINO_ACIDS, codon_pairs, codon_sites, codon_translation
-from ..operators import cds, coding, diversity, fst, pileup
+from ..operators import cds, coding, diversity, fst, pileup, windows
 from ..sources import readers, writers
 from ..sources.shared import shared_path
 from . import derived, reports
@@ -93,6 +93,12 @@ def _fst(spark, sf, by_contig: bool = False, coding_sites: bool = False, block:
     return rounded(fst.fst(derived.filtered(spark, sf), classes, by_contig=by_contig, block=block))
 
 
+def _coding_windows(spark, sf) -> DataFrame:
+    counts = derived.filtered(spark, sf)
+    values = coding.coding_site_values(counts, coding.gene_exons(derived.exons(spark, sf)), derived.reference(spark, sf))
+    return rounded(windows.sliding_coding(*values, counts.select("sample_id").distinct(), derived.contigs(spark, sf), 24, 10))
+
+
 STATS = ["sample_id", "contig", "transcript_id"]
 
 QUERIES: dict[str, Query] = {
@@ -105,6 +111,8 @@ QUERIES: dict[str, Query] = {
     "contig_pi": lambda s, d: rounded(diversity.contig_pi(_sites(s, d), derived.contigs(s, d))),
     "chunk_weighted_pi": lambda s, d: rounded(_chunk_weighted(s, d)),
     "window_pi": lambda s, d: rounded(diversity.window_pi(_sites(s, d), derived.contigs(s, d), 30)),
+    "window_sliding_pi": lambda s, d: rounded(windows.sliding_pi(_sites(s, d), derived.contigs(s, d), 30, 7, block=4)),
+    "window_coding": _coding_windows,
     "consensus": lambda s, d: pileup.consensus_bases(derived.filtered(s, d), derived.reference(s, d)),
     "consensus_seq_per_contig": lambda s, d: pileup.consensus_sequences(derived.filtered(s, d), derived.reference(s, d)),
     "region_filter": lambda s, d: pileup.in_region(derived.filtered(s, d), "ctg1", 10, 50),
@@ -199,7 +207,7 @@ x AS (SELECT s.sample_id, p.contig, p.transcript_id, p.strand, p.pos, p.cds_idx
   FROM cdspos p JOIN tr ON tr.contig = p.contig AND tr.transcript_id = p.transcript_id AND tr.len % 3 = 0 CROSS JOIN samples s JOIN base b ON b.contig = p.contig AND b.pos = p.pos
   LEFT JOIN pile l ON l.sample_id = s.sample_id AND l.contig = p.contig AND l.pos = p.pos LEFT JOIN varsite v ON v.contig = p.contig AND v.pos = p.pos LEFT JOIN over o ON o.contig = p.contig AND o.pos = p.pos),
 y AS (SELECT *, {_call("base")} AS called FROM x),
-z AS (SELECT sample_id, contig, transcript_id, ci, codon_pos, out, CASE WHEN strand = '-' THEN translate(called, 'ACGT', 'TGCA') ELSE called END AS called, CASE WHEN strand = '-' THEN translate(base, 'ACGT', 'TGCA') ELSE base END AS base,
+z AS (SELECT sample_id, contig, transcript_id, pos, ci, codon_pos, out, CASE WHEN strand = '-' THEN translate(called, 'ACGT', 'TGCA') ELSE called END AS called, CASE WHEN strand = '-' THEN translate(base, 'ACGT', 'TGCA') ELSE base END AS base,
   CASE WHEN strand = '-' THEN t ELSE a END AS a, CASE WHEN strand = '-' THEN g ELSE c END AS c, CASE WHEN strand = '-' THEN c ELSE g END AS g, CASE WHEN strand = '-' THEN a ELSE t END AS t FROM y),
 cod AS (SELECT *, string_agg(called, '') OVER (PARTITION BY sample_id, contig, transcript_id, ci ORDER BY codon_pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS codon, CAST(a + c + g + t AS DOUBLE) AS d FROM z),
 fs AS (SELECT cod.*, n.nuc, CASE WHEN d > 0 THEN CASE n.nuc WHEN 'A' THEN a WHEN 'C' THEN c WHEN 'G' THEN g ELSE t END / d ELSE CASE WHEN n.nuc = base THEN 1e0 ELSE 0e0 END END AS f FROM cod, nucs n),
@@ -263,6 +271,14 @@ ORACLES: dict[str, str] = {
     "contig_pi": _WITH + f"SELECT sample_id, contig, contig_length, {_r('pi')} FROM {_CONTIG_PI}",
     "chunk_weighted_pi": _WITH + f"SELECT sample_id, {_r('pi')} FROM {_SAMPLE_PI}",
     "window_pi": _WITH + f"SELECT sample_id, contig, start, least(30, length - start) AS window_length, round(s / least(30, length - start), {DIGITS}) AS pi FROM (SELECT sample_id, contig, pos // 30 * 30 AS start, sum(pi) AS s FROM site GROUP BY 1, 2, 3) JOIN contigs USING (contig)",
+    "window_sliding_pi": _WITH + f"""SELECT sample_id, contig, k * 7 AS start, least(30, any_value(length) - k * 7) AS window_length, CAST(count(*) AS BIGINT) AS n_sites, round(sum(pi) / least(30, any_value(length) - k * 7), {DIGITS}) AS pi
+  FROM (SELECT *, unnest(range(greatest(0, CAST(floor((pos - 30) / 7e0) AS BIGINT) + 1), pos // 7 + 1)) AS k FROM site) JOIN contigs USING (contig) GROUP BY sample_id, contig, k""",
+    "window_coding": _coded(f"""SELECT sample_id, contig, k * 10 AS start, least(24, any_value(length) - k * 10) AS window_length, CAST(count(*) AS BIGINT) AS coding_bases, round(CASE WHEN sum(n) > 1e-12 THEN sum(pn) / sum(n) END, {DIGITS}) AS "piN",
+  round(CASE WHEN sum(s) > 1e-12 THEN sum(ps) / sum(s) END, {DIGITS}) AS "piS", round(sum(n), {DIGITS}) AS "N_sites", round(sum(s), {DIGITS}) AS "S_sites"
+  FROM (SELECT *, unnest(range(greatest(0, CAST(floor((pos - 24) / 1e1) AS BIGINT) + 1), pos // 10 + 1)) AS k FROM sv) JOIN contigs USING (contig) GROUP BY sample_id, contig, k""".replace("FROM sv", """FROM (SELECT f.sample_id, f.contig, f.pos, f.n, f.s, q.pn, q.ps
+  FROM (SELECT fs.sample_id, fs.contig, fs.transcript_id, fs.pos, sum(f * n_sites) AS n, sum(f * s_sites) AS s FROM fs JOIN sites ON sites.codon = fs.codon AND sites.codon_pos = fs.codon_pos AND sites.nuc = fs.nuc GROUP BY 1, 2, 3, 4) f
+  JOIN (SELECT sample_id, contig, transcript_id, pos, sum(p * is_nonsyn) AS pn, sum(p * is_syn) AS ps FROM ps GROUP BY 1, 2, 3, 4) q USING (sample_id, contig, transcript_id, pos)
+  JOIN (SELECT contig, transcript_id FROM tr WHERE len % 3 = 0 QUALIFY row_number() OVER (PARTITION BY contig, gene_id ORDER BY s, o, transcript_id) = 1) USING (contig, transcript_id))""")),
     "consensus": _WITH + f"SELECT sample_id, contig, pos, {_call('base')} AS base FROM pile JOIN base USING (contig, pos)",
     "consensus_seq_per_contig": _WITH + f"SELECT s.sample_id, b.contig, string_agg(CASE WHEN p.pos IS NULL THEN b.base ELSE {_call('b.base')} END, '' ORDER BY b.pos) AS seq FROM samples s CROSS JOIN base b LEFT JOIN pile p ON p.sample_id = s.sample_id AND p.contig = b.contig AND p.pos = b.pos GROUP BY 1, 2",
     "region_filter": _WITH + "SELECT * FROM pile WHERE contig = 'ctg1' AND pos BETWEEN 10 AND 49",
