@@ -8,7 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import overlapping, points_in, running_sums
+
 TRANSCRIPT = ["contig", "transcript_id"]
+SWEEP = 1_000_000  # bases of a block of the sweep
 
 
 def exon_offsets(exons: DataFrame) -> DataFrame:
@@ -41,10 +44,37 @@ def reading_frames(exons: DataFrame, origin: int = 0) -> DataFrame:
     return exons.withColumn("frame", frame.cast("int"))
 
 
+def overlap_intervals(exons: DataFrame) -> DataFrame:
+    """(contig, start, end), disjoint: where exons of several frames lie, by a sweep over the exons' two edges with a running count for each frame."""
+    exons = reading_frames(exons).filter("start < end")
+    edge = lambda at, sign: F.struct(F.col(at).cast("long").alias("pos"), *(F.when(F.col("frame") == f, sign).otherwise(0).cast("long").alias(f"f{f}") for f in range(6)))
+    frames = [f"f{f}" for f in range(6)]
+    edges = exons.select("contig", F.inline(F.array(edge("start", 1), edge("end", -1)))).groupBy("contig", "pos").agg(*(F.sum(f).alias(f) for f in frames))
+    several = sum(((F.col(f) > 0).cast("int") for f in frames), F.lit(0)) > 1
+    return running_sums(edges, ["contig"], "pos", frames, SWEEP).filter(several).select("contig", F.col("pos").alias("start"), F.col("__end").alias("end"))
+
+
 def overlapping_positions(exons: DataFrame) -> DataFrame:
-    """(contig, pos) that several frames cover; the frames of a position are bits of one number."""
-    marked = reading_frames(exons).select("contig", F.expr("shiftleft(1, frame)").alias("bit"), F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("pos"))
-    return marked.groupBy("contig", "pos").agg(F.bit_or("bit").alias("bits")).filter(F.bit_count("bits") > 1).select("contig", F.col("pos").cast("long").alias("pos"))
+    """(contig, pos) that several frames cover: overlap_intervals, expanded."""
+    return overlap_intervals(exons).select("contig", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
+
+
+def variants_in_exons(variants: DataFrame, exons: DataFrame) -> DataFrame:
+    """(contig, transcript_id, strand, pos, cds_idx) of the variants (contig, pos) that lie in coding bases, without a row for each base."""
+    own = exon_offsets(exons).select(*TRANSCRIPT, "strand", "start", "end", "cds_offset")
+    inside = F.when(F.col("strand") == "-", F.col("end") - 1 - F.col("pos")).otherwise(F.col("pos") - F.col("start"))
+    return points_in(variants.select("contig", "pos").distinct(), own).select(*TRANSCRIPT, "strand", "pos", (F.col("cds_offset") + inside).cast("long").alias("cds_idx"))
+
+
+def transcripts_in_regions(exons: DataFrame, regions: DataFrame) -> DataFrame:
+    """A row for each transcript and region (contig, start, end, ...) in which the transcript starts: its columns of transcripts() and the region's others."""
+    return points_in(transcripts(exons), regions, pos="first_pos")
+
+
+def overlapping_transcripts(exons: DataFrame) -> DataFrame:
+    """(contig, transcript_id, other_transcript_id): pairs of transcripts whose exons share a base, the smaller id first."""
+    own = exons.select(*TRANSCRIPT, "start", "end")
+    return overlapping(own, own).filter("transcript_id < other_transcript_id").select(*TRANSCRIPT, "other_transcript_id").distinct()
 
 
 def chunks(exons: DataFrame, contigs: DataFrame, size: int) -> DataFrame:

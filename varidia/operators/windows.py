@@ -7,9 +7,11 @@ start with the sums of the blocks before them: no contig is one task. Values are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .intervals import running_sums
+
 BLOCK = 4096
 EXACT = "decimal(38,18)"
 
@@ -29,17 +31,7 @@ def sliding_sums(values: DataFrame, by: list[str], columns: list[str], width: in
     edges = rows.select(*by, F.inline(F.array(edge("first", 1), edge("after", -1))))
     every = [*columns, "n"]
     edges = edges.groupBy(*by, "k").agg(*(F.sum(c).cast("long" if c == "n" else EXACT).alias(c) for c in every))
-    edges = edges.withColumn("__b", F.floor(F.col("k") / block))
-
-    totals = edges.groupBy(*by, "__b").agg(F.min("k").alias("__k"), *(F.sum(c).alias(f"__{c}") for c in every))
-    order = Window.partitionBy(*by).orderBy("__b")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, "__b", F.lead("__k").over(order).alias("__next"), *(F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in every))
-
-    inside = Window.partitionBy(*by, "__b").orderBy("k")
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    runs = edges.join(totals, [*by, "__b"])
-    runs = runs.select(*by, "k", F.coalesce(F.lead("k").over(inside), "__next").alias("__end"), *((F.col(f"__{c}") + F.sum(c).over(upto)).alias(c) for c in every))
+    runs = running_sums(edges, by, "k", every, block)
     runs = runs.filter("n > 0")
     out = runs.withColumn("k", F.explode(F.sequence("k", F.col("__end") - 1)))
     return out.select(*by, "k", *(F.col(c).cast("double").alias(c) for c in columns), F.col("n").cast("long").alias("n"))

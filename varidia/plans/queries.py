@@ -120,6 +120,10 @@ QUERIES: dict[str, Query] = {
     "exon_offsets": lambda s, d: cds.exon_offsets(derived.exons(s, d)),
     "reading_frames": lambda s, d: cds.reading_frames(derived.exons(s, d)),
     "oof_overlaps": lambda s, d: cds.overlapping_positions(derived.exons(s, d)),
+    "overlap_intervals": lambda s, d: cds.overlap_intervals(derived.exons(s, d)),
+    "variants_in_exons": lambda s, d: cds.variants_in_exons(derived.filtered(s, d), derived.exons(s, d)),
+    "overlapping_transcripts": lambda s, d: cds.overlapping_transcripts(derived.exons(s, d)),
+    "transcripts_in_regions": lambda s, d: cds.transcripts_in_regions(derived.exons(s, d), cds.chunks(derived.exons(s, d), derived.contigs(s, d), 20)).select("contig", "transcript_id", "first_pos", "last_pos", "chunk_id"),
     "chunk_ranges": lambda s, d: cds.chunks(derived.exons(s, d), derived.contigs(s, d), 20),
     "codon_translate": lambda s, d: codon_translation(s),
     "codon_sites": lambda s, d: rounded(codon_sites(s)),
@@ -286,6 +290,10 @@ ORACLES: dict[str, str] = {
     "exon_offsets": _WITH + "SELECT * FROM offs",
     "reading_frames": _WITH + "SELECT * FROM frames",
     "oof_overlaps": _WITH + "SELECT * FROM over",
+    "overlap_intervals": _WITH + """SELECT contig, CAST(min(pos) AS BIGINT) AS "start", CAST(max(pos) + 1 AS BIGINT) AS "end" FROM (SELECT contig, pos, pos - row_number() OVER (PARTITION BY contig ORDER BY pos) AS g FROM over) GROUP BY contig, g""",
+    "variants_in_exons": _WITH + "SELECT p.contig, p.transcript_id, p.strand, p.pos, p.cds_idx FROM cdspos p JOIN (SELECT DISTINCT contig, pos FROM pile) v ON v.contig = p.contig AND v.pos = p.pos",
+    "overlapping_transcripts": _WITH + "SELECT DISTINCT a.contig, a.transcript_id, b.transcript_id AS other_transcript_id FROM cdspos a JOIN cdspos b ON a.contig = b.contig AND a.pos = b.pos AND a.transcript_id < b.transcript_id",
+    "transcripts_in_regions": _WITH + f'SELECT contig, transcript_id, s AS first_pos, e AS last_pos, chunk_id FROM tr JOIN {_CHUNKS} k USING (contig) WHERE s >= k."start" AND s < k."end"',
     "chunk_ranges": _WITH + f"SELECT * FROM {_CHUNKS}",
     "codon_translate": f"WITH {_CODE} SELECT * FROM code",
     "codon_sites": f"WITH {_site_sql()} SELECT codon, codon_pos, nuc, {_r('s_sites', 'n_sites')} FROM sites",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.cds import TRANSCRIPT, transcripts
+from ..operators.cds import TRANSCRIPT, transcripts_in_regions
 from ..operators.coding import NO_OVERLAP, STATS
 
 GENE_COLUMNS = ["sample_id", "contig", "chunk_id", "transcript_id", "transcript", "gene_id", "gene_symbol", "transcript_len", "transcript_len_no_overlap", *STATS, *NO_OVERLAP]
@@ -14,15 +14,13 @@ GENE_COLUMNS = ["sample_id", "contig", "chunk_id", "transcript_id", "transcript"
 def genes_report(stats: DataFrame, chunks: DataFrame | None = None, exons: DataFrame | None = None) -> DataFrame:
     """The 19 columns of a row for each sample and transcript; chunk_id is that of the chunk the transcript starts in.
 
-    Only transcripts of exons, without samples, meet the ranges of chunks; statistics are joined with them by key.
+    Transcripts of exons, without samples, meet the chunks by bins; statistics are joined with them by key.
     """
     df = stats
     if chunks is None or exons is None:
         df = df.withColumn("chunk_id", F.lit(None).cast("long"))
     else:
-        ranges = chunks.select(F.col("contig").alias("__c"), "chunk_id", F.col("start").alias("__s"), F.col("end").alias("__e"))
-        extent = transcripts(exons).select(*TRANSCRIPT, "first_pos")
-        of = extent.join(ranges, (F.col("contig") == F.col("__c")) & (F.col("first_pos") >= F.col("__s")) & (F.col("first_pos") < F.col("__e")))
+        of = transcripts_in_regions(exons, chunks)
         df = df.join(of.select(*TRANSCRIPT, "chunk_id"), TRANSCRIPT, "left")
     return df.withColumns({"transcript": F.col("transcript_id"), "gene_symbol": F.col("gene_id")}).select(*GENE_COLUMNS)
 
