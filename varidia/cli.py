@@ -21,6 +21,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--pi_only", action="store_true", help="skip synonymous and nonsynonymous diversity")
     p.add_argument("--include_stop_codons", action="store_true", help="count changes from and to stops as sites")
     p.add_argument("--chunk_size", type=int, default=CHUNK, help="bases of the chunks that chunk_id numbers")
+    p.add_argument("--rolling_window", type=int, help="bases of windows along contigs")
+    p.add_argument("--window_step", type=int, help="bases between the starts of windows; their width if left out")
+    p.add_argument("--fst", action="store_true", help="differentiation of all pairs of samples, by contig")
     p.add_argument("-t", "--threads", type=int, default=0, help="local threads; 0 uses the session's master")
     p.add_argument("--version", action="version", version=__version__)
     return p
@@ -35,7 +38,9 @@ def main(argv: list[str] | None = None) -> int:
     if args.threads:
         builder = builder.master(f"local[{args.threads}]")
     began = time.time()
-    out = analyse_files(builder.getOrCreate(), args.vcf, args.ref_fasta, args.gtf, args.output, args.maf, args.mutation_rates, args.include_stop_codons, args.pi_only, args.chunk_size)
+    out = analyse_files(
+        builder.getOrCreate(), args.vcf, args.ref_fasta, args.gtf, args.output, args.maf, args.mutation_rates, args.include_stop_codons, args.pi_only, args.chunk_size,
+        rolling_window=args.rolling_window, window_step=args.window_step, fst=args.fst)
     if out.rejected is not None:
         for r in out.rejected.toLocalIterator():
             logging.warning("coding length of %s on %s is %d, not of whole codons", r["transcript_id"], r["contig"], r["transcript_len"])

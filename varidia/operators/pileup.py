@@ -53,13 +53,43 @@ def consensus_bases(pileup: DataFrame, reference: DataFrame) -> DataFrame:
     return df.select(*KEY, consensus(F.col("base")).alias("base"))
 
 
-def consensus_sequences(pileup: DataFrame, reference_bases: DataFrame) -> DataFrame:
-    """The whole sequence of each sample and contig, for exports: a string of the contig's length in one row."""
-    own = pileup.join(reference_bases, ["contig", "pos"]).select(*KEY, consensus(F.col("base")).alias("own"))
-    every = pileup.select("sample_id").distinct().crossJoin(reference_bases)
-    full = every.join(own, KEY, "left").withColumn("base", F.coalesce("own", "base"))
+def reference_blocks(reference: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(contig, block, seq), size bases each but the last, from rows of bases; blocks of BLOCK bases stay as they are."""
+    if "seq" in reference.columns:
+        if size != BLOCK:
+            raise ValueError(f"these blocks have {BLOCK} bases")
+        return reference.select("contig", "block", "seq")
     seq = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "base"))), lambda x: x["base"]), "")
-    return full.groupBy("sample_id", "contig").agg(seq.alias("seq"))
+    return reference.groupBy("contig", F.floor(F.col("pos") / size).cast("long").alias("block")).agg(seq.alias("seq"))
+
+
+def consensus_blocks(pileup: DataFrame, reference: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(sample_id, contig, block, seq) where a sample's consensus differs from the reference; its other blocks are the reference's.
+
+    A block's differences, in order, are spliced between slices of the reference. No row is longer than a block.
+    """
+    called = attach_base(pileup, reference, "inner").select(*KEY, "base", consensus(F.col("base")).alias("own")).filter("own <> base")
+    edit = F.struct((F.col("pos") % size).cast("int").alias("at"), "own")
+    edits = called.groupBy("sample_id", "contig", F.floor(F.col("pos") / size).cast("long").alias("block")).agg(F.sort_array(F.collect_list(edit)).alias("e"))
+    rows = edits.join(reference_blocks(reference, size), ["contig", "block"])
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("e", i - 1)["at"] + 1)
+    spliced = F.transform("e", lambda x, i: F.concat(F.substr("seq", before(i) + 1, x["at"] - before(i)), x["own"]))
+    rest = F.substr("seq", F.element_at("e", -1)["at"] + 2, F.length("seq"))
+    return rows.select("sample_id", "contig", "block", F.concat(F.array_join(spliced, ""), rest).alias("seq"))
+
+
+def consensus_lines(pileup: DataFrame, reference: DataFrame) -> DataFrame:
+    """(sample_id, contig, block, seq): all blocks of all samples, each no longer than BLOCK; for exports."""
+    blocks = reference_blocks(reference)
+    every = pileup.select("sample_id").distinct().crossJoin(blocks.withColumnRenamed("seq", "__ref"))
+    out = every.join(consensus_blocks(pileup, reference), ["sample_id", "contig", "block"], "left")
+    return out.select("sample_id", "contig", "block", F.coalesce("seq", "__ref").alias("seq"))
+
+
+def consensus_sequences(pileup: DataFrame, reference: DataFrame) -> DataFrame:
+    """The whole sequence of each sample and contig, for exports: a string of the contig's length in one row, joined from blocks."""
+    seq = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "seq"))), lambda x: x["seq"]), "")
+    return consensus_lines(pileup, reference).groupBy("sample_id", "contig").agg(seq.alias("seq"))
 
 
 def pi_math(pileup: DataFrame) -> DataFrame:

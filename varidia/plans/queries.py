@@ -15,7 +15,7 @@ from ..functions.codons import AMINO_ACIDS, codon_pairs, codon_sites, codon_tran
 from ..operators import cds, coding, diversity, fst, pileup, windows
 from ..sources import readers, writers
 from ..sources.shared import shared_path
-from . import derived, reports
+from . import analysis, derived, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: transitions twice as likely as transversions
@@ -35,6 +35,11 @@ def _sites(spark, sf) -> DataFrame:
     return pileup.site_diversity(derived.filtered(spark, sf))
 
 
+def _reports(spark, sf) -> analysis.Diversity:
+    """All reports, from counts and transcript statistics that are computed once."""
+    return analysis.diversity(derived.pileup(spark, sf), derived.reference(spark, sf), derived.contigs(spark, sf), derived.exons(spark, sf), derived.MAF, chunk_size=20, store=True)
+
+
 def _first(spark, sf) -> DataFrame:
     return reports.first_transcripts(_stats(spark, sf), derived.contigs(spark, sf))
 
@@ -115,6 +120,7 @@ QUERIES: dict[str, Query] = {
     "window_coding": _coding_windows,
     "consensus": lambda s, d: pileup.consensus_bases(derived.filtered(s, d), derived.reference(s, d)),
     "consensus_seq_per_contig": lambda s, d: pileup.consensus_sequences(derived.filtered(s, d), derived.reference(s, d)),
+    "consensus_blocks": lambda s, d: pileup.consensus_blocks(derived.filtered(s, d), derived.reference(s, d), 16),
     "region_filter": lambda s, d: pileup.in_region(derived.filtered(s, d), "ctg1", 10, 50),
     "cds_positions": lambda s, d: cds.cds_positions(derived.exons(s, d)),
     "exon_offsets": lambda s, d: cds.exon_offsets(derived.exons(s, d)),
@@ -138,9 +144,9 @@ QUERIES: dict[str, Query] = {
     "transcript_no_overlap": lambda s, d: rounded(_stats(s, d).select(*STATS, "transcript_len_no_overlap", *coding.NO_OVERLAP)),
     "bad_length_transcripts": lambda s, d: coding.rejected_transcripts(derived.exons(s, d)),
     "first_transcript": lambda s, d: _first(s, d).select("sample_id", "contig", "gene_id", "transcript_id"),
-    "gene_report": lambda s, d: rounded(reports.genes_report(_stats(s, d), cds.chunks(derived.exons(s, d), derived.contigs(s, d), 20), derived.exons(s, d))),
-    "sample_report": lambda s, d: rounded(reports.samples_report(diversity.sample_pi(_sites(s, d), derived.contigs(s, d)), _first(s, d))),
-    "contig_report": lambda s, d: rounded(reports.contigs_report(diversity.contig_pi(_sites(s, d), derived.contigs(s, d)), _first(s, d))),
+    "gene_report": lambda s, d: rounded(_reports(s, d).genes),
+    "sample_report": lambda s, d: rounded(_reports(s, d).samples),
+    "contig_report": lambda s, d: rounded(_reports(s, d).contigs),
     "site_long": lambda s, d: rounded(reports.sites_report(_sites(s, d))),
     "site_wide": lambda s, d: rounded(reports.wide_sites(_sites(s, d), "ctg0", list(range(100)))),
     "record_counts": lambda s, d: pileup.record_counts(derived.pileup(s, d)),
@@ -285,6 +291,7 @@ ORACLES: dict[str, str] = {
   JOIN (SELECT contig, transcript_id FROM tr WHERE len % 3 = 0 QUALIFY row_number() OVER (PARTITION BY contig, gene_id ORDER BY s, o, transcript_id) = 1) USING (contig, transcript_id))""")),
     "consensus": _WITH + f"SELECT sample_id, contig, pos, {_call('base')} AS base FROM pile JOIN base USING (contig, pos)",
     "consensus_seq_per_contig": _WITH + f"SELECT s.sample_id, b.contig, string_agg(CASE WHEN p.pos IS NULL THEN b.base ELSE {_call('b.base')} END, '' ORDER BY b.pos) AS seq FROM samples s CROSS JOIN base b LEFT JOIN pile p ON p.sample_id = s.sample_id AND p.contig = b.contig AND p.pos = b.pos GROUP BY 1, 2",
+    "consensus_blocks": _WITH + f"SELECT sample_id, contig, CAST(pos // 16 AS BIGINT) AS block, string_agg(own, '' ORDER BY pos) AS seq FROM (SELECT s.sample_id, b.contig, b.pos, b.base, CASE WHEN p.pos IS NULL THEN b.base ELSE {_call('b.base')} END AS own FROM samples s CROSS JOIN base b LEFT JOIN pile p ON p.sample_id = s.sample_id AND p.contig = b.contig AND p.pos = b.pos) GROUP BY 1, 2, 3 HAVING bool_or(own <> base)",
     "region_filter": _WITH + "SELECT * FROM pile WHERE contig = 'ctg1' AND pos BETWEEN 10 AND 49",
     "cds_positions": _WITH + "SELECT * FROM cdspos",
     "exon_offsets": _WITH + "SELECT * FROM offs",

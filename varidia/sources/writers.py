@@ -5,16 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.pileup import attach_base
+from ..operators.pileup import BLOCK, attach_base, consensus_lines
+
+#: files of a contig at most
+FILES = 16
+LINE = 100
+
+
+def write_consensus(pileup: DataFrame, reference: DataFrame, contigs: DataFrame, path: str) -> None:
+    """FASTA of each sample's consensus, in a folder for each sample; its files in the order of their names are one text.
+
+    Rows are blocks of BLOCK bases, sorted by contig and block over ranges, so no task holds a contig.
+    """
+    lines = consensus_lines(pileup, reference).join(contigs.select("contig", "contig_ord"), "contig")
+    broken = F.regexp_replace("seq", f"(.{{{LINE}}})(?=.)", "$1\n")
+    text = F.when(F.col("block") == 0, F.concat(F.lit(">"), "contig", F.lit("\n"), broken)).otherwise(broken)
+    ordered = lines.select("sample_id", "contig_ord", "block", text.alias("value")).repartitionByRange("sample_id", "contig_ord", "block").sortWithinPartitions("sample_id", "contig_ord", "block")
+    ordered.select("sample_id", "value").write.mode("overwrite").partitionBy("sample_id").text(path)
 
 
 def write_reports(result, prefix: str, fmt: str = "csv") -> dict[str, str]:
     """Folders of the reports under a prefix; sites and contigs as gzip, in a folder for each contig. Returns their paths."""
     paths = {}
-    for name, df, parts in (("genes", result.genes, []), ("samples", result.samples, []), ("sites", result.sites, ["contig"]), ("summary_statistics", result.contigs, ["contig"])):
+    for name, df, parts in (("genes", result.genes, []), ("samples", result.samples, []), ("sites", result.sites, ["contig"]), ("summary_statistics", result.contigs, ["contig"]), ("windows", result.windows, ["contig"]), ("coding_windows", result.coding_windows, ["contig"]), ("fst", result.fst, []), ("rejected", result.rejected, [])):
         if df is None:
             continue
         paths[name] = f"{prefix}_{name}"
+        if parts:  # a contig's rows in as many files as they need, not in one of each task
+            df = df.repartition(*parts, F.pmod(F.xxhash64("sample_id", *(["pos"] if "pos" in df.columns else [])), F.lit(FILES)))
         out = df.write.mode("overwrite").partitionBy(*parts)
         (out.csv(paths[name], header=True, compression="gzip" if parts else None) if fmt == "csv" else out.format(fmt).save(paths[name]))
     return paths
