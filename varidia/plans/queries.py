@@ -61,36 +61,45 @@ def _pooled(spark, sf) -> DataFrame:
 
 
 def _sync_back(spark, sf) -> DataFrame:
-    samples = [f"s{i}" for i in range(5)]
-    return readers.parse_sync(writers.to_sync(derived.pileup(spark, sf), derived.reference(spark, sf), samples), samples)
+    return readers.parse_sync(writers.to_sync(derived.pileup(spark, sf), derived.reference(spark, sf), SAMPLES), SAMPLES)
 
 
-def _text(spark: SparkSession, lines: list[str]) -> str:
-    """A text file in the folder that driver and executors share."""
-    path = shared_path(spark, "text")
-    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
-    return path
+SAMPLES = [f"s{i}" for i in range(5)]
 
 
-FASTA = [">c1 first contig", "ATGTTTTATG", "gg tgg", ">c2", "ACGTN"]
-GTF = ["#comment", "", 'c1\tx\tCDS\t1\t15\t.\t+\t0\tgene_id "g1"; transcript_id "t1";', 'c1\tx\texon\t1\t15\t.\t+\t.\tgene_id "g1"; transcript_id "t1";', 'c2\tx\tcds\t2\t4\t.\t-\t0\tgene_id "g 2"; transcript_id "t2";']
-VCF = [
-    "##fileformat=VCFv4.2", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tx\ty", "c1\t6\t.\tT\tC\t.\t.\t.\tGT:RD:AD\t0/1:80:20\t0/0:10:.",
-    "c1\t9\t.\tT\tA,G\t.\t.\t.\tRD:AD\t90:10,5\t7:0,3", "c1\t11\t.\tG\tT\t.\t.\t.\tRD:AD\t50:50\t1:1", "c1\t11\t.\tG\tC\t.\t.\t.\tRD:AD\t50:5\t1:2", "c2\t1\t.\tAC\tA\t.\t.\t.\tRD:AD\t4:4\t5:5",
-]
+def _file(spark, write: Callable[[str], None]) -> str:
+    """A path in the folder that driver and executors share, with what was written there."""
+    path = shared_path(spark, "text")
+    write(path)
+    return path
 
 
 def _fasta(spark, sf) -> DataFrame:
-    blocks, contigs = readers.read_fasta(spark, _text(spark, FASTA))
-    return blocks.join(contigs, "contig").select("contig", "contig_ord", "length", "seq")
+    """The derived genome, written as FASTA and read back."""
+    blocks, contigs = readers.read_fasta(spark, _file(spark, lambda p: writers.write_fasta(derived.reference(spark, sf), p)))
+    return blocks.join(contigs, "contig").select("contig", "block", "length", "seq")
 
 
 def _gtf(spark, sf) -> DataFrame:
-    return readers.read_gtf(spark, _text(spark, GTF)).drop("exon_ord")
+    return readers.read_gtf(spark, _file(spark, lambda p: writers.write_gtf(derived.exons(spark, sf), p))).drop("exon_ord")
+
+
+def _vcf_file(spark, sf) -> str:
+    return _file(spark, lambda p: writers.write_vcf(derived.pileup(spark, sf), derived.reference(spark, sf), SAMPLES, p, "gzip"))
 
 
-def _vcf(spark, sf) -> DataFrame:
-    return readers.read_vcf(spark, _text(spark, VCF))
+def _codons(spark, sf) -> DataFrame:
+    """Codons of the derived contigs, from their first base on."""
+    at = (F.col("pos") % 3).cast("int")
+    three = [F.max(F.when(at == i, F.col("base"))) for i in range(3)]
+    rows = derived.reference(spark, sf).groupBy("contig", F.floor(F.col("pos") / 3).cast("long").alias("codon_idx")).agg(F.concat(*three).alias("codon"))
+    return rows.filter("codon IS NOT NULL")
+
+
+def _codon_sites(spark, sf, **options) -> DataFrame:
+    """Sites of each base of the contigs, in the codon it stands in."""
+    rows = _codons(spark, sf).join(F.broadcast(codon_sites(spark, **options)), "codon").filter(F.substr("codon", F.col("codon_pos") + 1, F.lit(1)) == F.col("nuc"))  # 768 rows
+    return rounded(rows.select("contig", "codon_idx", "codon_pos", "nuc", "s_sites", "n_sites"))
 
 
 def _fst(spark, sf, by_contig: bool = False, coding_sites: bool = False, block: int = fst.BLOCK) -> DataFrame:
@@ -131,11 +140,11 @@ QUERIES: dict[str, Query] = {
     "overlapping_transcripts": lambda s, d: cds.overlapping_transcripts(derived.exons(s, d)),
     "transcripts_in_regions": lambda s, d: cds.transcripts_in_regions(derived.exons(s, d), cds.chunks(derived.exons(s, d), derived.contigs(s, d), 20)).select("contig", "transcript_id", "first_pos", "last_pos", "chunk_id"),
     "chunk_ranges": lambda s, d: cds.chunks(derived.exons(s, d), derived.contigs(s, d), 20),
-    "codon_translate": lambda s, d: codon_translation(s),
-    "codon_sites": lambda s, d: rounded(codon_sites(s)),
-    "codon_sites_stop": lambda s, d: rounded(codon_sites(s, include_stops=True)),
-    "codon_sites_rates": lambda s, d: rounded(codon_sites(s, RATES)),
-    "codon_pair_class": lambda s, d: codon_pairs(s),
+    "codon_translate": lambda s, d: _codons(s, d).join(F.broadcast(codon_translation(s)), "codon").select("contig", "codon_idx", "codon", "aa"),
+    "codon_sites": _codon_sites,
+    "codon_sites_stop": lambda s, d: _codon_sites(s, d, include_stops=True),
+    "codon_sites_rates": lambda s, d: _codon_sites(s, d, rates=RATES),
+    "codon_pair_class": lambda s, d: _codons(s, d).join(F.broadcast(codon_pairs(s)), "codon").drop("codon"),
     "transcript_pi": lambda s, d: rounded(_stats(s, d).select(*STATS, "transcript_len", "pi")),
     "transcript_sites": lambda s, d: rounded(_stats(s, d).select(*STATS, "N_sites", "S_sites")),
     "transcript_sites_stop": lambda s, d: rounded(_stats(s, d, include_stops=True).select(*STATS, "N_sites", "S_sites")),
@@ -154,11 +163,12 @@ QUERIES: dict[str, Query] = {
     "fst_pairs": _fst,
     "fst_contigs": lambda s, d: _fst(s, d, by_contig=True, block=2),
     "fst_coding": lambda s, d: _fst(s, d, coding_sites=True),
-    "sync_format": lambda s, d: writers.to_sync(derived.pileup(s, d), derived.reference(s, d), [f"s{i}" for i in range(5)]),
+    "sync_format": lambda s, d: writers.to_sync(derived.pileup(s, d), derived.reference(s, d), SAMPLES),
     "sync_parse": _sync_back,
     "fasta_parse": _fasta,
     "gtf_parse": _gtf,
-    "vcf_parse": _vcf,
+    "vcf_record_counts": lambda s, d: readers.vcf_record_counts(s, _vcf_file(s, d)),
+    "vcf_parse": lambda s, d: readers.read_vcf(s, _vcf_file(s, d)),
 }
 
 _EXONS = ", ".join(f"('{t}', '{g}', '{st}', {a}, {b}, {o})" for t, g, st, a, b, o in derived.EXONS)
@@ -249,6 +259,13 @@ kinds AS (SELECT sample_1, sample_2, contig, pos, 'all' AS kind, w, b FROM both2
 _FST = "CAST(count(DISTINCT contig || ':' || pos) AS BIGINT) AS n_sites, round(CASE WHEN sum(b) > 1e-12 THEN 1 - sum(w) / sum(b) END, 8) AS fst FROM kinds"
 
 
+_CODONS_SQL = "codons AS (SELECT contig, CAST(pos // 3 AS BIGINT) AS codon_idx, string_agg(base, '' ORDER BY pos) AS codon FROM base GROUP BY 1, 2 HAVING count(*) = 3)"
+
+
+def _codon_sites_sql(**options) -> str:
+    return f"WITH {_BASE}, {_site_sql(**options)}, {_CODONS_SQL} SELECT contig, codon_idx, codon_pos, nuc, {_r('s_sites', 'n_sites')} FROM codons JOIN sites USING (codon) WHERE nuc = substr(codon, codon_pos + 1, 1)"
+
+
 def _r(*names: str) -> str:
     return ", ".join(f'round("{n}", {DIGITS}) AS "{n}"' for n in names)
 
@@ -302,11 +319,11 @@ ORACLES: dict[str, str] = {
     "overlapping_transcripts": _WITH + "SELECT DISTINCT a.contig, a.transcript_id, b.transcript_id AS other_transcript_id FROM cdspos a JOIN cdspos b ON a.contig = b.contig AND a.pos = b.pos AND a.transcript_id < b.transcript_id",
     "transcripts_in_regions": _WITH + f'SELECT contig, transcript_id, s AS first_pos, e AS last_pos, chunk_id FROM tr JOIN {_CHUNKS} k USING (contig) WHERE s >= k."start" AND s < k."end"',
     "chunk_ranges": _WITH + f"SELECT * FROM {_CHUNKS}",
-    "codon_translate": f"WITH {_CODE} SELECT * FROM code",
-    "codon_sites": f"WITH {_site_sql()} SELECT codon, codon_pos, nuc, {_r('s_sites', 'n_sites')} FROM sites",
-    "codon_sites_stop": f"WITH {_site_sql(stops=True)} SELECT codon, codon_pos, nuc, {_r('s_sites', 'n_sites')} FROM sites",
-    "codon_sites_rates": f"WITH {_site_sql(rates=True)} SELECT codon, codon_pos, nuc, {_r('s_sites', 'n_sites')} FROM sites",
-    "codon_pair_class": f"WITH {_CODE}, {_PAIRS_SQL} SELECT * FROM classes",
+    "codon_translate": f"WITH {_BASE}, {_CODE}, {_CODONS_SQL} SELECT contig, codon_idx, codon, aa FROM codons JOIN code USING (codon)",
+    "codon_sites": _codon_sites_sql(),
+    "codon_sites_stop": _codon_sites_sql(stops=True),
+    "codon_sites_rates": _codon_sites_sql(rates=True),
+    "codon_pair_class": f"WITH {_BASE}, {_CODE}, {_PAIRS_SQL}, {_CODONS_SQL} SELECT contig, codon_idx, codon_pos, pair, is_syn, is_nonsyn FROM codons JOIN classes USING (codon)",
     "transcript_pi": _coded(f"SELECT sample_id, contig, transcript_id, transcript_len, {_r('pi')} FROM st"),
     "transcript_sites": _coded(f"SELECT sample_id, contig, transcript_id, {_r('N_sites', 'S_sites')} FROM st"),
     "transcript_sites_stop": _coded(f"SELECT sample_id, contig, transcript_id, {_r('N_sites', 'S_sites')} FROM st", stops=True),
@@ -330,8 +347,8 @@ ORACLES: dict[str, str] = {
     "fst_coding": f"WITH {_FST_SQL} SELECT sample_1, sample_2, kind, {_FST} GROUP BY 1, 2, 3",
     "sync_format": _WITH + f'SELECT contig AS "Contig", pos + 1 AS "Position", base AS "Ref", {_SYNC} FROM raw JOIN base USING (contig, pos) GROUP BY 1, 2, 3',
     "sync_parse": _WITH + "SELECT s.sample_id, v.contig, v.pos, coalesce(a, 0) AS a, coalesce(c, 0) AS c, coalesce(g, 0) AS g, coalesce(t, 0) AS t FROM samples s CROSS JOIN (SELECT DISTINCT contig, pos FROM raw) v LEFT JOIN raw r ON r.sample_id = s.sample_id AND r.contig = v.contig AND r.pos = v.pos",
-    "fasta_parse": "SELECT * FROM (VALUES ('c1', 0, CAST(15 AS BIGINT), 'ATGTTTTATGGGTGG'), ('c2', 1, CAST(5 AS BIGINT), 'ACGTN')) t(contig, contig_ord, length, seq)",
-    "gtf_parse": """SELECT * FROM (VALUES ('c1', 't1', 'g1', '+', CAST(0 AS BIGINT), CAST(15 AS BIGINT)), ('c2', 't2', 'g 2', '-', 1, 4)) t(contig, transcript_id, gene_id, strand, "start", "end")""",
-    "vcf_parse": """SELECT sample_id, contig, CAST(pos AS BIGINT) AS pos, CAST(a AS BIGINT) AS a, CAST(c AS BIGINT) AS c, CAST(g AS BIGINT) AS g, CAST(t AS BIGINT) AS t FROM (VALUES ('x', 'c1', 5, 0, 20, 0, 80), ('y', 'c1', 5, 0, 0, 0, 10),
-  ('x', 'c1', 8, 10, 0, 5, 90), ('y', 'c1', 8, 0, 0, 3, 7), ('x', 'c1', 10, 0, 5, 100, 50), ('y', 'c1', 10, 0, 2, 2, 1), ('x', 'c2', 0, 4, 0, 0, 0), ('y', 'c2', 0, 5, 0, 0, 0)) t(sample_id, contig, pos, a, c, g, t)""",
+    "fasta_parse": _WITH + "SELECT contig, CAST(pos // 10000 AS BIGINT) AS block, CAST(any_value(length) AS BIGINT) AS length, string_agg(base, '' ORDER BY pos) AS seq FROM base JOIN contigs USING (contig) GROUP BY 1, 2",
+    "gtf_parse": _WITH + 'SELECT contig, transcript_id, gene_id, strand, "start", "end" FROM exons',
+    "vcf_record_counts": _WITH + "SELECT contig, count(DISTINCT pos) AS n_records FROM raw GROUP BY 1",
+    "vcf_parse": _WITH + "SELECT s.sample_id, v.contig, v.pos, coalesce(a, 0) AS a, coalesce(c, 0) AS c, coalesce(g, 0) AS g, coalesce(t, 0) AS t FROM samples s CROSS JOIN (SELECT DISTINCT contig, pos FROM raw) v LEFT JOIN raw r ON r.sample_id = s.sample_id AND r.contig = v.contig AND r.pos = v.pos",
 }

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.codons import Rates
 from ..functions.counts import BASES
 from ..operators.pileup import BLOCK, KEY
+from .shared import removed, written
+
+FILES = 10_000
+MAX_DOUBLINGS = 12
 
 
 def _ordered(df: DataFrame, *more: Column) -> DataFrame:
@@ -17,15 +21,21 @@ def _ordered(df: DataFrame, *more: Column) -> DataFrame:
     return df.select("value", *more, F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("ord"))
 
 
-def _fasta_blocks(title_and_seq: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Blocks of BLOCK bases and contigs from (contig, ord, seq)."""
-    first = title_and_seq.select("ord")
-    ords = title_and_seq.select("contig", "ord", F.length("seq").cast("long").alias("length"))
-    ranks = {tuple(r["ord"]): i for i, r in enumerate(sorted(first.collect(), key=lambda r: tuple(r["ord"])))}  # a row for each contig
-    order = title_and_seq.sparkSession.createDataFrame([(*k, i) for k, i in ranks.items()], "block long, row long, contig_ord int")
-    contigs = ords.join(F.broadcast(order), (F.col("ord.block") == F.col("block")) & (F.col("ord.row") == F.col("row"))).select("contig", "contig_ord", "length")
+def in_order(rows: DataFrame, name: str) -> DataFrame:
+    """Rows with ``name``, their rank by (file, ord) from 0: their place within a split after the rows of the splits before; only numbers of rows are added up in one task."""
+    split = ["file", "__split"]
+    rows = rows.withColumn("__split", F.col("ord.block"))
+    counts = rows.groupBy(*split).agg(F.count("*").alias("__n"))
+    before = counts.select(*split, F.coalesce(F.sum("__n").over(Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = rows.withColumn("__own", F.row_number().over(Window.partitionBy(*split).orderBy("ord.row")) - 1)
+    return own.join(before, split).withColumn(name, (F.col("__before") + F.col("__own")).cast("int")).drop("__split", "__own", "__before")
+
+
+def _fasta_blocks(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks of BLOCK bases and contigs from (contig, file, ord, seq)."""
+    contigs = in_order(records.select("contig", "file", "ord", F.length("seq").cast("long").alias("length")), "contig_ord").select("contig", "contig_ord", "length")
     n = F.greatest(F.ceil(F.length("seq") / BLOCK), F.lit(1)).cast("int")
-    blocks = title_and_seq.select("contig", "seq", F.explode(F.sequence(F.lit(0), n - 1)).alias("block"))
+    blocks = records.select("contig", "seq", F.explode(F.sequence(F.lit(0), n - 1)).alias("block"))
     return blocks.select("contig", F.col("block").cast("long").alias("block"), F.substr("seq", F.col("block") * BLOCK + 1, F.lit(BLOCK)).alias("seq")), contigs
 
 
@@ -33,33 +43,74 @@ def read_fasta(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Blocks (contig, block, seq) and contigs (contig, contig_ord, length); a record is one row, read in parallel.
 
     path may be a folder of files. Text before a file's first record is skipped; spaces inside sequences are dropped; letters become capitals.
+    The first record of each file is joined by broadcast where there are FILES files at most.
     """
     file = F.col("_metadata.file_path").alias("file")
-    rows = _ordered(spark.read.option("lineSep", "\n>").text(path), file)
-    start = rows.groupBy("file").agg(F.min("ord").alias("__first"))
+    text = spark.read.option("lineSep", "\n>").text(path)
+    rows = _ordered(text, file)
+    start = rows.select("file", "ord").groupBy("file").agg(F.min("ord").alias("__first"))
+    start = F.broadcast(start) if len(text.inputFiles()) <= FILES else start
     rows = rows.join(start, "file").filter((F.col("ord") != F.col("__first")) | F.col("value").startswith(">"))
     value = F.when(F.col("ord") == F.col("__first"), F.substr("value", F.lit(2))).otherwise(F.col("value"))
-    rows = rows.select(value.alias("value"), "ord").filter(F.length("value") > 0)
+    rows = rows.select(value.alias("value"), "file", "ord").filter(F.length("value") > 0)
     title = F.regexp_replace(F.substring_index("value", "\n", 1), r"\r", "")
     body = F.when(F.instr("value", "\n") > 0, F.substr("value", F.instr("value", "\n") + 1)).otherwise("")
-    return _fasta_blocks(rows.select(F.split(title, " ")[0].alias("contig"), "ord", F.upper(F.regexp_replace(body, r"\s", "")).alias("seq")))
+    return _fasta_blocks(rows.select(F.split(title, " ")[0].alias("contig"), "file", "ord", F.upper(F.regexp_replace(body, r"\s", "")).alias("seq")))
 
 
 def _attribute(name: str) -> Column:
     return F.nullif(F.regexp_extract("attributes", rf'(?:^|[;\s]){name}[ =]"?([^";]*)"?', 1), F.lit(""))
 
 
+def _ids(name: str) -> Column:
+    """The values of a GFF3 attribute, which commas part; their escapes are decoded."""
+    return F.transform(F.filter(F.split(F.coalesce(_attribute(name), F.lit("")), ","), lambda x: x != ""), lambda x: F.url_decode(F.regexp_replace(x, r"\+|%(?![0-9A-Fa-f]{2})", "%2B")))
+
+
+def top_ancestors(parents: DataFrame) -> DataFrame:
+    """(child, top, steps) of all (child, parent): the ancestors without a parent, by pointer doubling, so the rounds are the logarithm of the depth.
+
+    A child of several parents has a row for each top. Rings have none.
+    """
+    links = parents.select("child", "parent").distinct()
+    known = links.withColumn("steps", F.lit(1).cast("long"))
+    spark = parents.sparkSession
+    path = None
+    for _ in range(MAX_DOUBLINGS):
+        last = path
+        known, path = written(known, "parents")
+        if last:
+            removed(spark, last)
+        up = known.select(F.col("child").alias("parent"), F.col("parent").alias("__next"), F.col("steps").alias("__more"))
+        if known.join(up.select("parent"), "parent", "left_semi").isEmpty():
+            return known.withColumnRenamed("parent", "top")
+        jumped = known.join(up, "parent", "left")
+        known = jumped.select("child", F.coalesce("__next", "parent").alias("parent"), (F.col("steps") + F.coalesce("__more", F.lit(0))).alias("steps"))
+        known = known.groupBy("child", "parent").agg(F.max("steps").alias("steps"))
+    raise ValueError(f"features of the annotation are their own ancestors, or have more than 2**{MAX_DOUBLINGS - 1} of them")
+
+
 def read_gtf(spark: SparkSession, path: str) -> DataFrame:
-    """Exons of CDS rows, in file order; comments, blank lines, and GFF3-like name=value attributes are accepted."""
+    """Exons of CDS rows, in file order; comments and blank lines are skipped.
+
+    GTF rows name their transcript_id and gene_id. GFF3 rows name parents: a coding row belongs to each of them, and its gene is the
+    top ancestor, so CDS, mRNA and gene may be linked over any number of levels (one of several tops: the first by name).
+    """
     rows = _ordered(spark.read.text(path)).withColumn("value", F.translate("value", "/\r", "_"))
-    rows = rows.filter(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("f", F.split("value", "\t"))
-    rows = rows.filter(F.lower(F.get("f", F.lit(2))) == "cds").withColumn("attributes", F.get("f", F.lit(8)))
-    parent = F.coalesce(_attribute("transcript_id"), _attribute("Parent"))
-    out = rows.select(
-        F.get("f", F.lit(0)).alias("contig"), parent.alias("transcript_id"), F.coalesce(_attribute("gene_id"), _attribute("gene"), parent).alias("gene_id"), F.get("f", F.lit(6)).alias("strand"),
-        "ord", (F.get("f", F.lit(3)).cast("long") - 1).alias("start"), F.get("f", F.lit(4)).cast("long").alias("end"),
+    rows = rows.filter(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("f", F.split("value", "\t")).withColumn("attributes", F.get("f", F.lit(8)))
+    cds = rows.filter(F.lower(F.get("f", F.lit(2))) == "cds")
+    own = F.when(_attribute("transcript_id").isNotNull(), F.array(_attribute("transcript_id"))).when(F.size(_ids("Parent")) > 0, _ids("Parent")).otherwise(F.array(F.lit(None).cast("string")))
+    out = cds.select(
+        F.get("f", F.lit(0)).alias("contig"), F.explode(own).alias("transcript_id"), _attribute("gene_id").alias("__gene"), _attribute("gene").alias("__symbol"), F.get("f", F.lit(6)).alias("strand"),
+        (F.col("ord.block") * F.lit(1 << 20) + F.col("ord.row")).alias("exon_ord"), (F.get("f", F.lit(3)).cast("long") - 1).alias("start"), F.get("f", F.lit(4)).cast("long").alias("end"),
     )
-    return out.withColumn("exon_ord", F.col("ord.block") * F.lit(1 << 20) + F.col("ord.row")).select("contig", "transcript_id", "gene_id", "strand", "exon_ord", "start", "end")
+    links = rows.filter(F.lower(F.get("f", F.lit(2))) != "cds").select(F.explode(_ids("ID")).alias("child"), _ids("Parent").alias("p")).select("child", F.explode("p").alias("parent"))
+    if not links.isEmpty():  # GFF3
+        genes = top_ancestors(links).groupBy("child").agg(F.min("top").alias("__top")).withColumnRenamed("child", "transcript_id")
+        out = out.join(genes, "transcript_id", "left")
+    else:
+        out = out.withColumn("__top", F.lit(None).cast("string"))
+    return out.select("contig", "transcript_id", F.coalesce("__gene", "__top", "__symbol", "transcript_id").alias("gene_id"), "strand", "exon_ord", "start", "end")
 
 
 def check_contigs(exons: DataFrame, contigs: DataFrame) -> None:
@@ -103,6 +154,12 @@ def read_vcf(spark: SparkSession, path: str, rd_merge: str = "sum", region: tupl
     return rows.groupBy(*KEY).agg(*out)
 
 
+def vcf_record_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(contig, n_records): the records of each contig; a site that is split over several records counts for each."""
+    lines = spark.read.text(path).filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    return lines.groupBy(F.substring_index("value", "\t", 1).alias("contig")).agg(F.count("*").alias("n_records"))
+
+
 def read_rates(source) -> Rates:
     """Rates from a 4 by 4 array, or a json, csv, tsv or npy file of one: rows are from, columns to, in the order A, C, G, T."""
     if isinstance(source, str):
