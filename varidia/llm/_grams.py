@@ -55,7 +55,9 @@ def hashes(spelled: pa.Array) -> np.ndarray:
     data = np.frombuffer(spelled.buffers()[2], np.uint8)[offs[0] : offs[-1]]
     at = offs[:-1] - offs[0]
     inner = np.arange(len(data)) - np.repeat(at, np.diff(offs))
-    return mix(np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * _POW[inner & 4095], at) + np.diff(offs).astype(np.uint64))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POW[inner & 4095])))
+    ends = offs - offs[0]
+    return mix(total[ends[1:]] - total[ends[:-1]] + np.diff(offs).astype(np.uint64))
 
 
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
