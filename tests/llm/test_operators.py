@@ -856,6 +856,31 @@ def test_each_layout_of_a_host_has_a_wrapper_from_all_pages(spark):
     assert got[299] == "C199" and got[100] == "C0"  # a line beside the main block, no heading or paragraph
 
 
+SPEAKING = "navigation comments promo modal subscribe pagination footer cookie signup".split()
+
+
+def test_speaking_classes_and_ids_drop_no_text_of_an_article(spark):
+    block = lambda k, how: f"<div {how}><h2>Part {k}</h2><p>Stars guide ships {k} over the wide sea</p></div><p {how}>A line {k} of it</p>"
+    page = lambda k, how: f"<body><article><h1>T{k}</h1><p>{'word ' * 30}{k}</p>{block(k, how)}<p>{'more ' * 20}{k}</p></article></body>"
+    cases = [(100 * i + 10 * j + k, f"http://{how}{name}/", page(k, f"{how}={name}")) for i, name in enumerate(SPEAKING) for j, how in enumerate(("class", "id")) for k in range(4)]
+    bare = lambda k: f"<body><article><p>{'word ' * 30}{k}</p><div id=navigation><p>Stars guide ships {k}</p></div></article></body>"
+    got = texts_of(spark, cases + [(5000 + k, "http://bare/", bare(k)) for k in range(4)])
+    for n, _, _ in cases:
+        k = n % 10
+        assert f"Part {k}\nStars guide ships {k} over the wide sea\nA line {k} of it" in got[n], n
+    assert all(got[5000 + k].endswith(f"\nStars guide ships {k}") for k in range(4))
+
+
+def test_steps_that_end_an_article_stay_and_signed_records_go(spark):
+    steps = lambda k: "".join(f"<div class=step><p>Do {i} of {k} now</p></div>" for i in range(2 + k))
+    notes = lambda k: "".join(f"<div class=r><div>n{i}</div><p>I like it {i} {k} very much</p></div>" for i in range(1 + k))
+    page = lambda k, end: f"<body><div class=w><h1>T{k}</h1><p>{'word ' * 40}{k}</p>{end(k)}</div></body>"
+    got = texts_of(spark, [(k, "http://s/", page(k, steps)) for k in range(4)] + [(10 + k, "http://n/", page(k, notes)) for k in range(4)])
+    for k in range(4):
+        assert got[k].split("\n")[2:] == [f"Do {i} of {k} now" for i in range(2 + k)]
+        assert len(got[10 + k].split("\n")) == 2
+
+
 def test_words_and_forms_do_not_drop_content(spark):
     article = lambda k: f"<body><article><div class='article-header'><h1>T{k}</h1></div><p>x{k}</p><div class='social share'>Tell a friend</div><section id=discussion>D{k}</section><div class=alert>W{k}</div><div class=ad>Buy {k}</div></article></body>"
     story = lambda k: f"<body><div class=side>s{k}</div><div class=story><header><h1>T{k}</h1></header><p>x{k}</p><p>y{k}</p></div></body>"
