@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import blocks
+from ._shared import written
 
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 0x11
 UNIT = 64  # payload bytes of an ADPCM block
@@ -217,17 +218,32 @@ def read_payload(blob: bytes) -> tuple[int, bytes, memoryview]:
 
 
 FORMATS = (MULAW, ALAW, ADPCM)
-FILES = ("media", "wav")
 
 
-def text_audio(docs: DataFrame, rate: int = 16000, files: bool = True) -> DataFrame:
-    """docs with a struct ``audio``: each text's bytes stored as telephony audio, read back, decoded, resampled and stored as a PCM file.
+def _encode():
+    """A UDF of texts: the bytes of each and, as media, a telephony audio file whose samples they are; the text's checksum picks one of FORMATS."""
+    kind = pa.struct([("n_bytes", pa.int64()), ("media", pa.binary())])
+
+    @F.arrow_udf("n_bytes bigint, media binary")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for arr in parts:
+            rows = []
+            for _, _, data, offs in blocks(arr, 2 << 20):
+                for a, b in zip(offs[:-1], offs[1:], strict=True):
+                    payload = padded(data[a:b].tobytes())
+                    rows.append({"n_bytes": int(b - a), "media": store_payload(payload, FORMATS[zlib.crc32(payload) % len(FORMATS)])})
+            yield pa.array(rows, kind)
+
+    return run
 
-    The text's checksum picks one of FORMATS, so equal texts have equal values. Features come from the PCM file as it is
-    read back. ``media`` and ``wav`` are the two files; without ``files``, which take 5 to 9 times the text, they stay in the task.
+
+def _describe(rate: int, files: bool):
+    """A UDF of stored files, and the names of its fields: their payload, and the PCM file they decode and resample to, as ``wav`` only with files.
+
+    Features come from the PCM file as it is read back.
     """
-    kinds = {"n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string", "wav_bytes": "bigint", "wav_sha256": "string"}
-    kinds |= dict.fromkeys(FILES, "binary") if files else {}
+    kinds = {"payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string", "wav_bytes": "bigint", "wav_sha256": "string"}
+    kinds |= {"wav": "binary"} if files else {}
     types = pa.struct([(n, {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in kinds.items()])
 
     def described(row: dict, fmt: int, pcm: np.ndarray) -> None:
@@ -242,32 +258,50 @@ def text_audio(docs: DataFrame, rate: int = 16000, files: bool = True) -> DataFr
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for arr in parts:
             rows: list[dict] = []
-            for _, _, data, offs in blocks(arr, 2 << 20):
-                coded, owner, waiting = [], [], []
-                for a, b in zip(offs[:-1], offs[1:], strict=True):
-                    payload = padded(data[a:b].tobytes())
-                    blob = store_payload(payload, FORMATS[zlib.crc32(payload) % len(FORMATS)])
-                    fmt, back, samples = read_payload(blob)
-                    row = {"n_bytes": int(b - a), "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-UNIT:]), "media_bytes": len(blob), "media_sha256": hashlib.sha256(blob).hexdigest()}
-                    if files:
-                        row["media"] = blob
-                    if fmt == ADPCM:  # all of these decode together below
-                        coded.append(np.frombuffer(samples, np.uint8).reshape(-1, UNIT + 4))
-                        owner.append(len(coded[-1]))
-                        waiting.append(row)
-                    else:
-                        described(row, fmt, decode(fmt, samples))
-                    rows.append(row)
+            coded, owner, waiting = [], [], []
+
+            def decoded(coded: list, owner: list, waiting: list) -> None:  # ADPCM blocks of many files together
                 if waiting:
                     pcm, at = adpcm_blocks(np.concatenate(coded)), 0
                     for row, n in zip(waiting, owner, strict=True):
                         described(row, ADPCM, pcm[at : at + n].ravel())
                         at += n
+                for part in (coded, owner, waiting):
+                    part.clear()
+
+            for item in arr:
+                blob = item.as_py()
+                fmt, back, samples = read_payload(blob)
+                row = {"payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-UNIT:]), "media_bytes": len(blob), "media_sha256": hashlib.sha256(blob).hexdigest()}
+                rows.append(row)
+                if fmt != ADPCM:
+                    described(row, fmt, decode(fmt, samples))
+                    continue
+                coded.append(np.frombuffer(samples, np.uint8).reshape(-1, UNIT + 4))
+                owner.append(len(coded[-1]))
+                waiting.append(row)
+                if sum(owner) * UNIT >= 2 << 20:
+                    decoded(coded, owner, waiting)
+            decoded(coded, owner, waiting)
             yield pa.array(rows, types)
 
-    return docs.withColumn("audio", run("text"))
+    return run, list(kinds)
+
+
+def text_audio(docs: DataFrame, rate: int = 16000, files: bool = True) -> DataFrame:
+    """docs with a struct ``audio``: each text's bytes as a telephony audio file, read back, decoded, resampled and stored as a PCM file.
+
+    Equal texts have equal values. With ``files`` the two files are kept, as ``media`` and ``wav``; they take 5 to 9 times the text.
+    """
+    run, names = _describe(rate, files)
+    df = docs.withColumn("__stored", _encode()("text"))
+    df = df.withColumn("__read", run("__stored.media"))
+    fields = ["__stored.n_bytes", *(f"__read.{n}" for n in names), *(["__stored.media"] if files else [])]
+    return df.withColumn("audio", F.struct(*fields)).drop("__stored", "__read")
 
 
 def op2_audio(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return text_audio(docs, files=False).select("doc_id", "audio.*")
+    """The media files are written as a table; digests and features come from what is read there."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", _encode()("text").alias("a"))
+    stored, _ = written(docs.select("doc_id", "a.n_bytes", "a.media"), "media")
+    return stored.select("doc_id", "n_bytes", _describe(16000, False)[0]("media").alias("a")).select("doc_id", "n_bytes", "a.*")
