@@ -391,8 +391,6 @@ def test_fingerprints(spark, odd, none):
         t, u = text[r["doc_id"]], text[nxt["doc_id"]]
         e = t[: len(t) - len(t) // 3] + u[: len(t) // 3]
         assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(e.encode()).hexdigest())
-        a, b = (np.frombuffer(bytes.fromhex(x), ">u4") for x in (r["fingerprint"], nxt["fingerprint"]))
-        assert r["near_next"] == pytest.approx(phrases.likeness(a, b))
         assert r["edited_fingerprint"] == phrases.to_hex(phrases.sketches([e])[0])
     got = {r["doc_id"]: r["fp"] for r in phrases.fingerprint(odd, out="fp").collect()}
     assert got[1] == got[2] == "" and got[3] == got[None]
@@ -401,8 +399,8 @@ def test_fingerprints(spark, odd, none):
     assert phrases.with_neighbours(none).count() == 0
 
 
-def plain_names(text):
-    """Names at each level by loops over one text; the same hashes of symbols."""
+def plain_names(text, fine=False):
+    """The set of names by loops over one text, with level 1 if fine; the same hashes of symbols."""
     one = lambda x: int(phrases.mix(np.array([x & (1 << 64) - 1], np.uint64))[0])
     sym, out = [ord(c) for c in text], []
     for _ in range(max(phrases.LEVELS)):
@@ -432,22 +430,40 @@ def plain_names(text):
                 power = power * 0x9E3779B97F4A7C15 & (1 << 64) - 1
             sym.append(one(total + b - a))
         out.append([one(x + len(out) + 1) >> 32 for x in sym])
-    return sorted({x for level in phrases.LEVELS for x in out[level - 1]})[: phrases.K]
+    return {x for level in ((1,) if fine else ()) + phrases.LEVELS for x in out[level - 1]}
 
 
 def test_fingerprints_equal_a_plain_parse(spark):
     texts = ["a", "ab", "aaaa", "abcabc" * 9, *(r["text"] for r in docs_of(spark).limit(25).collect())]
     texts = [t for t in texts if t]
-    assert [x.tolist() for x in phrases.sketches(texts)] == [plain_names(t) for t in texts]
+    texts += ["hello world", "x" * 63 + "y", "é" * 20 + "abc" * 15, "ab" * 140]
+    assert [x.tolist() for x in phrases.sketches(texts)] == [sorted(plain_names(t, len(t) < phrases.SHORT))[: phrases.K] for t in texts]
     rows = sorted(phrases.op5_phrases(spark, SF).collect(), key=lambda r: -r["doc_id"])[:30]
     text = {r["doc_id"]: r["text"] or "" for r in docs_of(spark).collect()}
     for r, nxt in zip(rows, rows[1:], strict=False):
         t, u = text[r["doc_id"]], text[nxt["doc_id"]]
         e = t[: len(t) - len(t) // 3] + u[: len(t) // 3]
         for near, other in (("near_edited", e), ("near_next", u)):
-            a, b = plain_names(t) if t else [], plain_names(other) if other else []
-            least = sorted({*a, *b})[: phrases.K]
-            assert r[near] == pytest.approx(len({*a} & {*b} & {*least}) / len(least) if a and b else float(len(a) == len(b)))
+            assert r[near] == pytest.approx(plain_likeness(t, other))
+
+
+def plain_likeness(t, u):
+    if not t or not u:
+        return float(t == u)
+    fine = min(len(t), len(u)) < 64 and max(len(t), len(u)) < 256
+    a, b = plain_names(t, fine), plain_names(u, fine)
+    return len(a & b) / len(a | b)
+
+
+def test_likeness_takes_all_names(spark):
+    rng = random.Random(11)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    common = words(60)
+    one, two = words(1500) + common + words(1500), words(1500) + common + words(1500)
+    for t, u in ((one, two), ("hello world", "hello wurld"), ("", "x"), ("", ""), (words(8), words(30)), (words(8), words(80))):
+        (a, b) = phrases.name_sets([t, u])
+        assert phrases.alike(t, a, u, b) == pytest.approx(plain_likeness(t, u))
+    assert phrases.alike(one, phrases.name_sets([one])[0], two, phrases.name_sets([two])[0]) > 0
 
 
 def test_equal_substrings_share_phrases_at_any_offset():

@@ -6,11 +6,12 @@ gives small labels that differ between neighbours; a phrase begins at each local
 phrase's name is a hash of its symbols, and the names are the next level's symbols. Where a phrase begins
 depends on a few symbols around it only, so equal substrings get equal names inside, at any offset.
 
-A fingerprint is the K smallest of the names at LEVELS, as hex; likeness is the share of common names among
-the K smallest of both, an estimate of the Jaccard index (exact for sets of fewer than K names).
+A fingerprint is the K smallest of the names at LEVELS, as hex; texts of fewer than SHORT characters, which have few phrases there, add
+those of level 1. Likeness is the Jaccard index of all names of both texts, not of the fingerprints; of a short text and another
+that isn't long, with level 1.
 
 Null counts as the empty text, whose fingerprint is empty; two empty fingerprints are alike (1), an empty and
-another are not (0). Memory is some 100 bytes for each character of a block of texts or of one longer text.
+another are not (0). Memory is some 120 bytes for each character of a block of texts or of one longer text.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from ._bytes import _POW, mix
 
 K = 64
 LEVELS = (2, 3, 4)
+SHORT, FINE = 64, 256
 BLOCK_CHARS = 1 << 18
 
 
@@ -78,36 +80,54 @@ def parse(sym: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names, np.flatnonzero(begin[cut])
 
 
-def sketches(texts: list[str]) -> list[np.ndarray]:
-    """The sorted K smallest names (32 bits) of each text."""
-    out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+def name_sets(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text the sorted names (32 bits) of the phrases at LEVELS, and those with the phrases of level 1 as well."""
+    out = [(np.zeros(0, np.uint32),) * 2] * len(texts)
     full = [i for i, t in enumerate(texts) if t]
     if not full:
         return out
     sym = np.frombuffer("".join(texts[i] for i in full).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     first = np.concatenate(([0], np.cumsum([len(texts[i]) for i in full])[:-1])).astype(np.int64)
-    names, owner = [], []
+    keys = []
     for level in range(1, max(LEVELS) + 1):
         sym, first = parse(sym, first)
-        if level in LEVELS:
-            names.append(mix(sym + np.uint64(level)) >> np.uint64(32))
-            owner.append(np.repeat(np.arange(len(full), dtype=np.uint64), np.diff(np.append(first, len(sym)))))
-    key = np.unique(np.concatenate(owner) << np.uint64(32) | np.concatenate(names))
-    ends = np.searchsorted(key, np.arange(len(full) + 1, dtype=np.uint64) << np.uint64(32))
+        if level == 1 or level in LEVELS:
+            owner = np.repeat(np.arange(len(full), dtype=np.uint64), np.diff(np.append(first, len(sym))))
+            keys.append(owner << np.uint64(32) | mix(sym + np.uint64(level)) >> np.uint64(32))
+    fine = np.zeros(len(full) + 1, bool)
+    fine[:-1] = [len(texts[i]) < FINE for i in full]
+    low = keys[0][fine[(keys[0] >> np.uint64(32)).astype(np.int64)]] if 1 not in LEVELS else keys[0][:0]
+    own = np.unique(np.concatenate(keys[1:] if 1 not in LEVELS else keys))
+    each = np.arange(len(full) + 1, dtype=np.uint64) << np.uint64(32)
+    both = np.unique(np.concatenate((own[fine[(own >> np.uint64(32)).astype(np.int64)]], low)))
+    (a, b), word = (np.searchsorted(k, each) for k in (own, both)), np.uint64(0xFFFFFFFF)
     for k, i in enumerate(full):
-        out[i] = (key[ends[k] : min(ends[k + 1], ends[k] + K)] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        names = (own[a[k] : a[k + 1]] & word).astype(np.uint32)
+        out[i] = (names, (both[b[k] : b[k + 1]] & word).astype(np.uint32) if fine[k] else names)
     return out
 
 
+def sketches(texts: list[str]) -> list[np.ndarray]:
+    """The sorted K smallest names of each text at LEVELS, with level 1 for texts of fewer than SHORT characters."""
+    return [sketch(t, s) for t, s in zip(texts, name_sets(texts), strict=True)]
+
+
+def sketch(text: str, sets: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    return sets[len(text) < SHORT][:K]
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard index of two sorted sets."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both = np.concatenate((a, b))
-    both.sort()
-    same = both[1:] == both[:-1]
-    distinct = np.flatnonzero(np.append(True, ~same))[:K]
-    common = int(np.count_nonzero(same[distinct[distinct < len(same)]]))
-    return common / len(distinct)
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common)
+
+
+def alike(text: str, sets: tuple, other: str, others: tuple) -> float:
+    """Likeness from all names of both texts; level 1 counts if one of them has fewer than SHORT characters and the other fewer than FINE."""
+    fine = min(len(text), len(other)) < SHORT and max(len(text), len(other)) < FINE
+    return likeness(sets[fine], others[fine])
 
 
 def to_hex(a: np.ndarray) -> str:
@@ -189,17 +209,18 @@ def op5_phrases(spark, sf_dir: str) -> DataFrame:
             last = [own[-1][1][3]]
             index = {id(r): i for i, (r, _) in enumerate(own)}
             changed = [edited(r[3], f[3]) for r, f in own]
-            fps = sketches([r[3] for r, _ in own] + last)
-            new = sketches(changed)
-            nxt = [fps[index[id(f)]] if id(f) in index else (sketches([f[3]])[0] if f is not own[-1][1] else fps[-1]) for _, f in own]
+            texts = [r[3] for r, _ in own]
+            fps = name_sets(texts + last)
+            new = name_sets(changed)
+            nxt = [fps[index[id(f)]] if id(f) in index else (name_sets([f[3]])[0] if f is not own[-1][1] else fps[-1]) for _, f in own]
             return pa.RecordBatch.from_arrays([
                 pa.array([r[2] for r, _ in own], pa.int64()),
                 pa.array([len(r[3]) for r, _ in own], pa.int64()),
                 pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]),
-                pa.array(map(to_hex, fps[:-1]), pa.string()),
-                pa.array(map(to_hex, new), pa.string()),
-                pa.array([likeness(a, b) for a, b in zip(fps, new, strict=False)], pa.float64()),
-                pa.array([likeness(a, b) for a, b in zip(fps, nxt, strict=False)], pa.float64()),
+                pa.array([to_hex(sketch(t, a)) for t, a in zip(texts, fps, strict=False)], pa.string()),
+                pa.array([to_hex(sketch(t, a)) for t, a in zip(changed, new, strict=True)], pa.string()),
+                pa.array([alike(t, a, c, b) for t, a, c, b in zip(texts, fps, changed, new, strict=False)], pa.float64()),
+                pa.array([alike(t, a, f[3], b) for t, a, (_, f), b in zip(texts, fps, own, nxt, strict=False)], pa.float64()),
             ], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
         block, size = [], 0
