@@ -2,6 +2,8 @@
 
 import glob
 import random
+import struct
+import zlib
 from collections import defaultdict
 
 import pytest
@@ -15,6 +17,7 @@ from varidia.operators.intervals import overlapping, points_in
 from varidia.operators.pileup import BLOCK, consensus_blocks, consensus_sequences
 from varidia.operators.windows import sliding_pi
 from varidia.plans.analysis import diversity
+from varidia.sources.blockgzip import index_members, is_block_gzip, members_of, read_lines
 from varidia.sources.readers import read_fasta, read_gtf, read_vcf, top_ancestors, vcf_record_counts
 from varidia.sources.shared import leftover, removed, written
 from varidia.sources.writers import write_consensus, write_vcf
@@ -254,3 +257,42 @@ def test_tables_are_removed(spark):
     assert df.count() == 3 and path in leftover()
     removed(spark, path)
     assert path not in leftover()
+
+
+def block_gzip(data, size):
+    """A file of members of size bytes of text, and the empty member that ends one."""
+    out = b""
+    for part in [data[i : i + size] for i in range(0, len(data), size)] + [b""]:
+        c = zlib.compressobj(6, zlib.DEFLATED, -15)
+        packed = c.compress(part) + c.flush()
+        out += b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(packed) + 25) + packed + struct.pack("<II", zlib.crc32(part), len(part))
+    return out
+
+
+@pytest.mark.parametrize(("member", "split", "n"), [(700, "4k", 1200), (37, "1k", 150), (5, "64", 12)])
+def test_block_gzip_is_read_in_parallel_and_pruned(spark, tmp_path, member, split, n):
+    rng = random.Random(member)
+    head = "##x\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tx\ty\n"
+    lines = [f"c{1 + i * 3 // n}\t{i + 1}\t.\t{rng.choice('ACGT')}\tA,T\t.\t.\t.\tRD:AD\t{rng.randrange(50)}:{rng.randrange(9)},2\t1:{rng.randrange(99)},.\n" for i in range(n)]
+    text = (head + "".join(lines)).encode()
+    (tmp_path / "p.vcf").write_bytes(text)
+    (tmp_path / "p.vcf.gz").write_bytes(block_gzip(text, member))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        path = str(tmp_path / "p.vcf.gz")
+        assert is_block_gzip(spark, path) and not is_block_gzip(spark, str(tmp_path / "p.vcf")) and not is_block_gzip(spark, str(tmp_path))
+        assert sorted(r["value"] for r in read_lines(spark, path).collect()) == sorted(text.decode().splitlines())
+        assert read_lines(spark, path).rdd.getNumPartitions() > 1
+        want = {tuple(r) for r in read_vcf(spark, str(tmp_path / "p.vcf")).collect()}
+        assert {tuple(r) for r in read_vcf(spark, path).collect()} == want
+        region = ("c2", n * 2 // 5, n * 2 // 5 + 9)
+        index, _ = written(index_members(spark, path), "index")
+        keys = members_of(index, region)
+        assert {tuple(r) for r in read_vcf(spark, path, region=region, index=index).collect()} == {r for r in want if r[1] == "c2" and region[1] <= r[2] < region[2]}
+        if member == 700:
+            assert len(keys) < 0.5 * (len(text) / member)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.codons import Rates
 from ..functions.counts import BASES
 from ..operators.pileup import BLOCK, KEY
+from .blockgzip import is_block_gzip, members_of, read_lines
 from .shared import removed, written
 
 FILES = 10_000
@@ -125,18 +126,21 @@ def vcf_samples(lines: DataFrame) -> list[str]:
     return head["value"].rstrip("\r").split("\t")[9:] if head else []
 
 
-def read_vcf(spark: SparkSession, path: str, rd_merge: str = "sum", region: tuple[str, int, int] | None = None) -> DataFrame:
+def read_vcf(spark: SparkSession, path: str, rd_merge: str = "sum", region: tuple[str, int, int] | None = None, index: DataFrame | None = None) -> DataFrame:
     """A pileup from FORMAT fields RD (reference reads) and AD (reads of each alternate); missing counts are 0.
 
     Only single-base alleles count. Records of one site are merged: alternates add up, and reference reads add up
     or, with rd_merge="max", the largest counts (for files that repeat RD in split records).
+
+    A block-gzip file is inflated by all tasks; with a region and its index (index_members), only the members that may hold records of it are.
     """
     if rd_merge not in ("sum", "max"):
         raise ValueError(f"rd_merge is sum or max, not {rd_merge}")
-    lines = spark.read.text(path)
-    names = vcf_samples(lines)
+    packed = is_block_gzip(spark, path)
+    names = vcf_samples(spark.read.text(path))  # stops after the header
+    lines = read_lines(spark, path, members_of(index, region) if region and index is not None else None) if packed else spark.read.text(path)
     if region:  # before lines are split
-        pos = F.substring_index(F.substring_index("value", "\t", 2), "\t", -1).cast("long") - 1
+        pos = F.substring_index(F.substring_index("value", "\t", 2), "\t", -1).try_cast("long") - 1
         lines = lines.filter(F.col("value").startswith(f"{region[0]}\t") & (pos >= region[1]) & (pos < region[2]))
     f = F.split(F.rtrim("value"), "\t")
     rows = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("f", f)
