@@ -16,10 +16,11 @@ from varidia.operators.fst import fst, pair_sums
 from varidia.operators.intervals import overlapping, points_in
 from varidia.operators.pileup import BLOCK, consensus_blocks, consensus_sequences
 from varidia.operators.windows import sliding_pi
-from varidia.plans.analysis import diversity
+from varidia.plans.analysis import analyse_files, diversity
 from varidia.sources.blockgzip import index_members, is_block_gzip, members_of, read_lines
-from varidia.sources.readers import read_fasta, read_gtf, read_vcf, top_ancestors, vcf_record_counts
+from varidia.sources.readers import read_fasta, read_gtf, read_rates, read_vcf, top_ancestors, vcf_record_counts
 from varidia.sources.shared import leftover, removed, written
+from varidia.sources.store import PileupStore
 from varidia.sources.writers import write_consensus, write_vcf
 
 PILEUP = "sample_id string, contig string, pos long, a long, c long, g long, t long"
@@ -296,3 +297,43 @@ def test_block_gzip_is_read_in_parallel_and_pruned(spark, tmp_path, member, spli
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_store_reads_a_source_once_and_prunes(spark, tmp_path, monkeypatch):
+    def vcf(name, sample, lines):
+        (tmp_path / name).write_text(f"#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t{sample}\n" + "".join(f"{c}\t{p}\t.\tA\tC\t.\t.\t.\tRD:AD\t{v}\n" for c, p, v in lines))
+        return str(tmp_path / name)
+
+    one, two = vcf("1.vcf", "x", [("c1", p, f"{p}:1") for p in range(1, 40)] + [("c2", 5, "7:7")]), vcf("2.vcf", "y", [("c1", 3, "2:2")])
+    store = PileupStore(spark, str(tmp_path / "store"))
+    with pytest.raises(ValueError, match="no source"):
+        store.read()
+    assert store.add(one) and not store.add(one) and store.add(two)
+    assert {tuple(r) for r in store.read().collect()} == {tuple(r) for f in (one, two) for r in read_vcf(spark, f).collect()}
+    assert [tuple(r) for r in store.read([two]).collect()] == [("y", "c1", 2, 2, 2, 0, 0)]
+    region = store.read(region=("c1", 10, 12))
+    assert sorted(r["pos"] for r in region.collect()) == [10, 11]
+    plan = region._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "GreaterThanOrEqual(pos,10)" in plan
+    again = vcf("3.vcf", "x", [("c1", 3, "1:0"), ("c1", 90, "1:1")])  # the same sample in another file
+    store.add(again)
+    assert {(r["pos"], r["a"]) for r in store.read(region=("c1", 2, 3)).collect() if r["sample_id"] == "x"} == {(2, 4)}
+    parts = {e["part"] for e in store.entries()}
+    vcf("2.vcf", "y", [("c1", 3, "2:2"), ("c1", 4, "9:9")])
+    assert store.add(two) and len({e["part"] for e in store.entries()} & parts) == 2
+    assert len(glob.glob(str(tmp_path / "store" / "counts" / "part=*"))) == 3 and len(glob.glob(str(tmp_path / "store" / "manifest" / "*"))) == 1
+    (tmp_path / "r.fasta").write_text(">c1\n" + "A" * 100 + "\n>c2\nAAAAAAA\n")
+    first = analyse_files(spark, [one, two], str(tmp_path / "r.fasta"), maf=0.0, cache_folder=str(tmp_path / "store")).samples.collect()
+    monkeypatch.setattr("varidia.sources.store.read_vcf", None)
+    assert sorted(analyse_files(spark, [one, two], str(tmp_path / "r.fasta"), maf=0.0, cache_folder=str(tmp_path / "store")).samples.collect()) == sorted(first)
+    monkeypatch.undo()
+    plain = analyse_files(spark, [one, two], str(tmp_path / "r.fasta"), maf=0.0).samples.collect()
+    assert {(r["sample_id"], round(r["pi"], 12)) for r in plain} == {(r["sample_id"], round(r["pi"], 12)) for r in first}
+
+
+def test_rates_through_spark(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("0,1,2,1\n1,0,1,2\n2,1,0,1\n1,2,1,0\n")
+    (tmp_path / "r.json").write_text("[[0,1,2,1],[1,0,1,2],[2,1,0,1],[1,2,1,0]]")
+    assert read_rates(str(tmp_path / "r.csv"), spark) == read_rates(str(tmp_path / "r.json"), spark) == read_rates(str(tmp_path / "r.csv"))
+    with pytest.raises(NotImplementedError):
+        read_rates("x.doc", spark)

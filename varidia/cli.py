@@ -12,7 +12,7 @@ from .plans.analysis import CHUNK, MAF, analyse_files
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="varidia", description="Nucleotide diversity of pooled samples.", formatter_class=argparse.ArgumentDefaultsHelpFormatter)
-    p.add_argument("-v", "--vcf", required=True, help="variants with RD and AD fields")
+    p.add_argument("-v", "--vcf", required=True, nargs="+", help="variants with RD and AD fields; several files are read together")
     p.add_argument("-r", "--ref_fasta", required=True, help="reference sequence")
     p.add_argument("-g", "--gtf", help="annotation; without it only diversity of sites, samples and contigs")
     p.add_argument("-o", "--output", default="results", help="prefix of the written folders")
@@ -24,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--rolling_window", type=int, help="bases of windows along contigs")
     p.add_argument("--window_step", type=int, help="bases between the starts of windows; their width if left out")
     p.add_argument("--fst", action="store_true", help="differentiation of all pairs of samples, by contig")
+    p.add_argument("--cache_folder", help="keeps parsed variants there for other runs")
     p.add_argument("-t", "--threads", type=int, default=0, help="local threads; 0 uses the session's master")
     p.add_argument("--version", action="version", version=__version__)
     return p
@@ -40,7 +41,7 @@ def main(argv: list[str] | None = None) -> int:
     began = time.time()
     out = analyse_files(
         builder.getOrCreate(), args.vcf, args.ref_fasta, args.gtf, args.output, args.maf, args.mutation_rates, args.include_stop_codons, args.pi_only, args.chunk_size,
-        rolling_window=args.rolling_window, window_step=args.window_step, fst=args.fst)
+        rolling_window=args.rolling_window, window_step=args.window_step, fst=args.fst, cache_folder=args.cache_folder)
     if out.rejected is not None:
         for r in out.rejected.toLocalIterator():
             logging.warning("coding length of %s on %s is %d, not of whole codons", r["transcript_id"], r["contig"], r["transcript_len"])

@@ -11,10 +11,11 @@ from ..operators.cds import chunks
 from ..operators.coding import coding_site_values, gene_exons, pair_classes, rejected_transcripts, transcript_statistics
 from ..operators.diversity import contig_pi, sample_pi
 from ..operators.fst import fst as pair_fst
-from ..operators.pileup import minor_allele_filter, site_diversity
+from ..operators.pileup import merge_records, minor_allele_filter, site_diversity
 from ..operators.windows import sliding_coding, sliding_pi
 from ..sources.readers import check_contigs, read_fasta, read_gtf, read_rates, read_vcf
 from ..sources.shared import stored
+from ..sources.store import PileupStore
 from ..sources.writers import write_reports
 from .reports import contigs_report, first_transcripts, genes_report, samples_report, sites_report
 
@@ -76,18 +77,32 @@ def diversity(
 
 
 def analyse_files(
-    spark: SparkSession, vcf_file: str, ref_fasta: str, gtf_file: str | None = None, output_file_prefix: str | None = None, maf: float = MAF, mutation_rates=None,
+    spark: SparkSession, vcf_file: str | list[str], ref_fasta: str, gtf_file: str | None = None, output_file_prefix: str | None = None, maf: float = MAF, mutation_rates=None,
     include_stop_codons: bool = False, pi_only: bool = False, chunk_size: int = CHUNK, rd_merge: str = "sum",
-    rolling_window: int | None = None, window_step: int | None = None, fst: bool | DataFrame = False,
+    rolling_window: int | None = None, window_step: int | None = None, fst: bool | DataFrame = False, cache_folder: str | None = None,
 ) -> Diversity:
-    """Reports on a VCF with RD and AD fields, a FASTA and a GTF; written under the prefix if one is given, from one parse of the VCF."""
+    """Reports on VCF files with RD and AD fields, a FASTA and a GTF; written under the prefix if one is given, from one parse of the VCF.
+
+    With cache_folder, parsed counts are kept there: files that haven't changed since another run aren't read again.
+    """
+    files = [vcf_file] if isinstance(vcf_file, str) else list(vcf_file)
+    if cache_folder:
+        store = PileupStore(spark, cache_folder)
+        for f in files:
+            store.add(f, rd_merge)
+        pileup = store.read(files)
+    else:
+        pileup = read_vcf(spark, files[0], rd_merge)
+        for f in files[1:]:
+            pileup = pileup.unionByName(read_vcf(spark, f, rd_merge))
+        pileup = merge_records(pileup) if len(files) > 1 else pileup
     reference, contigs = read_fasta(spark, ref_fasta)
     exons = None
     if gtf_file and not pi_only:
         exons = read_gtf(spark, gtf_file)
         check_contigs(exons, contigs)
-    rates = read_rates(mutation_rates) if mutation_rates is not None else None
-    out = diversity(read_vcf(spark, vcf_file, rd_merge), reference, contigs, exons, maf, rates, include_stop_codons, pi_only, chunk_size, output_file_prefix is not None, rolling_window, window_step, fst)
+    rates = read_rates(mutation_rates, spark) if mutation_rates is not None else None
+    out = diversity(pileup, reference, contigs, exons, maf, rates, include_stop_codons, pi_only, chunk_size, output_file_prefix is not None, rolling_window, window_step, fst)
     if output_file_prefix:
         out.paths = out.write(output_file_prefix)
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -164,26 +165,32 @@ def vcf_record_counts(spark: SparkSession, path: str) -> DataFrame:
     return lines.groupBy(F.substring_index("value", "\t", 1).alias("contig")).agg(F.count("*").alias("n_records"))
 
 
-def read_rates(source) -> Rates:
-    """Rates from a 4 by 4 array, or a json, csv, tsv or npy file of one: rows are from, columns to, in the order A, C, G, T."""
+def read_rates(source, spark: SparkSession | None = None) -> Rates:
+    """Rates from a 4 by 4 array, or a json, csv, tsv, npy or xls(x) file of one: rows are from, columns to, in the order A, C, G, T.
+
+    With a session the file is read by Spark, from any file system; else it is a local one.
+    """
     if isinstance(source, str):
         suffix = source.rsplit(".", 1)[-1].lower()
+        if suffix not in ("npy", "json", "csv", "tsv", "xls", "xlsx"):
+            raise NotImplementedError(f"mutation rates in a .{suffix} file")
+        if spark is None:
+            with open(source, "rb") as f:
+                data = f.read()
+        else:
+            data = bytes(spark.read.format("binaryFile").load(source).select("content").first()[0])  # 16 numbers
         if suffix == "npy":
             import numpy as np
 
-            source = np.load(source).tolist()
+            source = np.load(io.BytesIO(data)).tolist()
         elif suffix == "json":
-            with open(source) as f:
-                source = json.load(f)
+            source = json.loads(data)
         elif suffix in ("csv", "tsv"):
-            with open(source) as f:
-                source = [line.strip().split("," if suffix == "csv" else "\t") for line in f if line.strip()]
-        elif suffix in ("xls", "xlsx"):
+            source = [line.strip().split("," if suffix == "csv" else "\t") for line in data.decode().splitlines() if line.strip()]
+        else:
             import pandas as pd
 
-            source = pd.read_excel(source, header=None).to_numpy().tolist()
-        else:
-            raise NotImplementedError(f"mutation rates in a .{suffix} file")
+            source = pd.read_excel(io.BytesIO(data), header=None).to_numpy().tolist()
     matrix = [[float(x) for x in row] for row in source]
     if len(matrix) != 4 or any(len(row) != 4 for row in matrix):
         raise ValueError("mutation rates are a 4 by 4 matrix")
