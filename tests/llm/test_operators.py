@@ -205,15 +205,15 @@ def test_lm_scores_equal_brute_force(spark, odd, none):
         two.update(zip(w, w[1:], strict=False))
     n = sum(one.values())
 
-    def score(w):
+    def score(w, least):
         s = 0.0
         for v, x in zip([None, *w], w, strict=False):
-            s += math.log(one[x] / n) if v is None else math.log(two[v, x] / one[v]) if two[v, x] >= 2 else math.log(0.4 * one[x] / n)
+            s += math.log(one[x] / n) if v is None else math.log(two[v, x] / one[v]) if two[v, x] >= least else math.log(0.4 * one[x] / n)
         return s
 
-    for options in ({}, {"top": 0, "heavy": 0}, {"top": 500, "heavy": 20}, {"top": 500, "heavy": 0}):
+    for options in ({}, {"min_count": 2}, {"min_count": 2, "top": 0, "heavy": 0}, {"top": 500, "heavy": 20}, {"min_count": 2, "top": 500, "heavy": 0}):
         got = lmscore.score_documents(d, **options).collect()
-        off = [r["doc_id"] for r in got if abs(r["log_score"] - score(words[r["doc_id"]])) > 1e-6]
+        off = [r["doc_id"] for r in got if abs(r["log_score"] - score(words[r["doc_id"]], options.get("min_count", 1))) > 1e-6]
         assert len(got) == len(words) and not off
         assert all(r["n_words"] == len(words[r["doc_id"]]) for r in got)
     rows = {r["doc_id"]: r for r in lmscore.score_documents(odd).collect()}

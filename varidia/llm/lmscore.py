@@ -2,7 +2,7 @@
 
 Words are runs of non-space bytes in lower case (ASCII and Latin-1). A word w after v scores c(v w) / c(v) if the pair occurs
 min_count times or more in the corpus, else alpha c(w) / N; a first word scores c(w) / N. A document's log_score
-is the sum of the logs, and mean_log that over its words. The query op3_lmscore has min_count 1, so nothing is pruned.
+is the sum of the logs, and mean_log that over its words. With min_count 1, the default and that of op3_lmscore, nothing is pruned.
 
 score_documents is of order 2 and made for large inputs. Counting covers all documents. Word counts are partitioned by hash. The
 TOP most frequent words have numbers of their own, and their counts are a table of fixed size that is broadcast; the others,
@@ -44,7 +44,7 @@ START = TOP  # the number before a first word
 RARE = 1 << 46  # added to the 45 bits of rare words
 M17, M45, M62 = (1 << 17) - 1, (1 << 45) - 1, (1 << 62) - 1
 ALPHA = 0.4
-MIN_COUNT = 2
+MIN_COUNT = 1
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
