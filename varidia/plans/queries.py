@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.codons import AMINO_ACIDS, codon_pairs, codon_sites, codon_translation
 from ..operators import cds, coding, diversity, fst, pileup, windows
 from ..sources import readers, writers
-from ..sources.shared import shared_path
+from ..sources.shared import shared_path, stored
 from . import analysis, derived, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,8 +27,17 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(F.col(n), DIGITS).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes))
 
 
+def _counts(spark, sf) -> DataFrame:
+    """Filtered counts, computed once: what follows reads them several times."""
+    return stored(derived.filtered(spark, sf), "counts")
+
+
+def _exons(spark, sf) -> DataFrame:
+    return stored(derived.exons(spark, sf), "exons")
+
+
 def _stats(spark, sf, **options) -> DataFrame:
-    return coding.transcript_statistics(derived.filtered(spark, sf), derived.exons(spark, sf), derived.reference(spark, sf), **options)
+    return coding.transcript_statistics(_counts(spark, sf), _exons(spark, sf), derived.reference(spark, sf), **options)
 
 
 def _sites(spark, sf) -> DataFrame:
@@ -37,7 +46,7 @@ def _sites(spark, sf) -> DataFrame:
 
 def _reports(spark, sf) -> analysis.Diversity:
     """All reports, from counts and transcript statistics that are computed once."""
-    return analysis.diversity(derived.pileup(spark, sf), derived.reference(spark, sf), derived.contigs(spark, sf), derived.exons(spark, sf), derived.MAF, chunk_size=20, store=True)
+    return analysis.diversity(derived.pileup(spark, sf), derived.reference(spark, sf), derived.contigs(spark, sf), _exons(spark, sf), derived.MAF, chunk_size=20, store=True)
 
 
 def _first(spark, sf) -> DataFrame:
@@ -104,12 +113,12 @@ def _codon_sites(spark, sf, **options) -> DataFrame:
 
 def _fst(spark, sf, by_contig: bool = False, coding_sites: bool = False, block: int = fst.BLOCK) -> DataFrame:
     classes = coding.pair_classes(derived.exons(spark, sf), derived.reference(spark, sf)) if coding_sites else None
-    return rounded(fst.fst(derived.filtered(spark, sf), classes, by_contig=by_contig, block=block))
+    return rounded(fst.fst(_counts(spark, sf), classes, by_contig=by_contig, block=block))
 
 
 def _coding_windows(spark, sf) -> DataFrame:
-    counts = derived.filtered(spark, sf)
-    values = coding.coding_site_values(counts, coding.gene_exons(derived.exons(spark, sf)), derived.reference(spark, sf))
+    counts = _counts(spark, sf)
+    values = coding.coding_site_values(counts, coding.gene_exons(_exons(spark, sf)), derived.reference(spark, sf))
     return rounded(windows.sliding_coding(*values, counts.select("sample_id").distinct(), derived.contigs(spark, sf), 24, 10))
 
 
