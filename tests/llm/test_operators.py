@@ -810,6 +810,38 @@ def test_tree_matching_equals_the_recursion():
         assert len(again.kinds) == size and sum(s[0] for s in again.stats) == size + len(to)
 
 
+def test_wide_trees_get_the_heaviest_matching_too(spark):
+    names = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(540)]
+    moved = htmltext.Tree(), htmltext.Tree()
+    for t, order in zip(moved, ([*names, "mover"], ["mover", *names]), strict=True):
+        for name in order:
+            t.add(f"div.{name}|", 0)
+    assert [len(htmltext.tree_match(*pair)) for pair in (moved, moved[::-1], moved[:1] * 2)] == [541, 541, 542]
+    rng = random.Random(5)
+    a, b = htmltext.Tree(), htmltext.Tree()
+    for t in (a, b):
+        for _ in range(900):
+            t.add(rng.choice("ab") + ".|", rng.randrange(min(len(t.kinds), 3)))
+    best = {}
+    for v in range(900, -1, -1):
+        for w in range(900, -1, -1):
+            if a.kinds[v] == b.kinds[w]:
+                line = [0] * (len(b.kids[w]) + 1)
+                for x in a.kids[v]:
+                    new = [0]
+                    for j, y in enumerate(b.kids[w]):
+                        new.append(max(line[j + 1], new[j], line[j] + best.get((x, y), 0)))
+                    line = new
+                best[v, w] = line[-1] + 1
+    assert len(htmltext.tree_match(a, b)) == best[0, 0]
+    # a page in which only a block's place differs has the template of the others
+    fixed = "".join(f"<div class={name}><p>Fixed {name}</p></div>" for name in names)
+    block = lambda k: f"<div class=mover><p>Moved {k} here</p></div>"
+    page = lambda k: f"<body><div class=m>{block(k) * (k == 9)}{fixed}{block(k) * (k != 9)}<p>{'word ' * 20}{k}</p></div></body>"
+    got = texts_of(spark, [(k, "http://wide/", page(k)) for k in (0, 1, 2, 9)])
+    assert got == {k: f"Moved {k} here\n{'word ' * 20}{k}" for k in (0, 1, 2, 9)}
+
+
 def plain_site(k, notes=True):
     """A page without article, main or speaking classes: link list, advert, text between constant paragraphs, comments."""
     rng = random.Random(k)

@@ -22,8 +22,8 @@ if what follows it does. Pages alone in their host have the statistics of one pa
 
 Character references are decoded, white space inside a block becomes one space, and blocks are joined by a
 newline in page order; a line break element also ends a block. Null or empty html: empty text. Null url: the
-host is empty. Broken markup is read as far as it goes; no step recurses, so nesting has no limit. Children are matched
-by a table of CELLS cells at most; beyond it, by their order among those of one kind. Repeated rows stay; columns named like the outputs are
+host is empty. Broken markup is read as far as it goes; no step recurses, so nesting has no limit. The matching is the heaviest at any
+size: time grows with the product of the two trees' nodes below the same kinds, memory with that of their distinct shapes. Repeated rows stay; columns named like the outputs are
 replaced. An empty table gives an empty result. Wrappers are joined by broadcast only if they are ``small`` bytes at most.
 """
 
@@ -34,9 +34,11 @@ import html as html_lib
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from math import isqrt
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,7 +48,6 @@ from ._shared import removed, written
 
 GROUP = 32  # trees that one task aligns
 EVIDENCE = 3  # pages that must have the same text
-CELLS = 1 << 18
 SMALL = 32 << 20
 
 # Fixed values of HTML: kinds of elements.
@@ -315,35 +316,47 @@ def tree_match(a: Tree, b: Tree) -> dict[int, int]:
         for v in _upwards(t):
             shape[-1][v] = known.setdefault((t.kinds[v], *(shape[-1][x] for x in t.kids[v])), len(known))
             size[-1][v] += sum(size[-1][x] for x in t.kids[v])
-    weight: dict[tuple[int, int], int] = {}
-    chosen: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    cells = 0
-    stack = [(0, 0, False)]
-    while stack:
-        v, w, again = stack.pop()
-        if (v, w) in weight:
-            continue
-        left, right = a.kids[v], b.kids[w]
+    # nodes below the same kinds, one of each shape: shape to node of a and of b; below has their children's groups by kind
+    groups = [({shape[0][0]: 0}, {shape[1][0]: 0})]
+    below: list[dict[str, int]] = []
+    for sides in groups:
+        below.append({})
+        if len(sides[0]) > 1 or sides[0].keys() != sides[1].keys():
+            found: list[dict[str, dict[int, int]]] = [{}, {}]
+            for t, s, nodes, by in zip((a, b), shape, sides, found, strict=True):
+                for v in nodes.values():
+                    for x in t.kids[v]:
+                        by.setdefault(t.kinds[x], {}).setdefault(s[x], x)
+            for kind in found[0]:
+                if kind in found[1]:
+                    below[-1][kind] = len(groups)
+                    groups.append((found[0][kind], found[1][kind]))
+    rows, columns = ([{s: i for i, s in enumerate(sides[k])} for sides in groups] for k in (1, 0))
+    weight: list[np.ndarray] = [np.ones((len(y), len(x)), np.int32) for x, y in groups]
+    for g in range(len(groups) - 1, -1, -1):
+        left, right = groups[g]
+        if left.keys() == right.keys() and len(left) == 1:
+            weight[g][0, 0] = size[0][next(iter(left.values()))]
+        elif below[g]:
+            _weigh(weight, g, below[g], a, b, shape, groups[g], rows, columns)
+    out, todo = {}, [(0, 0, 0)]
+    for v, w, g in todo:
+        out[w] = v
         if shape[0][v] == shape[1][w]:
-            weight[v, w], chosen[v, w] = size[0][v], list(zip(left, right, strict=True))
-            continue
-        if not again:
-            cells += len(left) * len(right)
-        if cells > CELLS:
-            pairs = _in_turn(a, b, left, right)
-        else:
-            pairs = [(x, y) for x in left for y in right if a.kinds[x] == b.kinds[y]]
-        todo = [(x, y, False) for x, y in pairs if (x, y) not in weight]
-        if todo:
-            stack.append((v, w, True))
-            stack += todo
+            todo += [(x, y, 0) for x, y in zip(a.kids[v], b.kids[w], strict=True)]
             continue
-        chosen[v, w] = pairs if cells > CELLS else _heaviest(left, right, pairs, weight)
-        weight[v, w] = 1 + sum(weight[p] for p in chosen[v, w])
-    out, todo2 = {}, [(0, 0)]
-    for v, w in todo2:
-        out[w] = v
-        todo2 += chosen[v, w] if (v, w) in chosen else zip(a.kids[v], b.kids[w], strict=True)
+        both = {a.kinds[x] for x in a.kids[v]} & {b.kinds[y] for y in b.kids[w]}
+        lefts, rights = [x for x in a.kids[v] if a.kinds[x] in both], [y for y in b.kids[w] if b.kinds[y] in both]
+        place = {kind: np.array([i for i, y in enumerate(rights) if b.kinds[y] == kind]) for kind in both}
+        which = {kind: np.array([rows[below[g][kind]][shape[1][rights[i]]] for i in at]) for kind, at in place.items()}
+
+        def gain(x: int) -> np.ndarray:
+            kind, out = a.kinds[x], np.zeros(len(rights), np.int64)
+            k = below[g][kind]
+            out[place[kind]] = weight[k][which[kind], columns[k][shape[0][x]]]
+            return out
+
+        todo += [(x, rights[j], below[g][a.kinds[x]]) for x, j in _heaviest(lefts, len(rights), gain)]
     return out
 
 
@@ -354,36 +367,61 @@ def _upwards(t: Tree) -> Iterator[int]:
     return reversed(order)
 
 
-def _in_turn(a: Tree, b: Tree, left: list[int], right: list[int]) -> list[tuple[int, int]]:
-    """Children in order, each with the next one of its kind."""
-    out, at = [], 0
-    place: dict[str, list[int]] = {}
-    for i, x in enumerate(left):
-        place.setdefault(a.kinds[x], []).append(i)
-    for y in right:
-        i = next((i for i in place.get(b.kinds[y], ()) if i >= at), None)
-        if i is not None:
-            out.append((left[i], y))
-            at = i + 1
-    return out
-
-
-def _heaviest(left: list[int], right: list[int], pairs: list[tuple[int, int]], weight: dict) -> list[tuple[int, int]]:
-    """The heaviest matching of children that keeps both orders."""
-    fits = set(pairs)
-    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    for i, x in enumerate(left):
-        for j, y in enumerate(right):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + weight[x, y] if (x, y) in fits else 0)
-    out, i, j = [], len(left), len(right)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            out.append((left[i], right[j]))
+def _weigh(weight: list, g: int, below: dict[str, int], a: Tree, b: Tree, shape: list, sides: tuple, rows: list, columns: list) -> None:
+    """Fills in the weights of a group's pairs; a node of b is matched with all of a's at once, whose children lie in one line."""
+    line, ends = [], []
+    place: dict[str, list[int]] = {kind: [] for kind in below}
+    which: dict[str, list[int]] = {kind: [] for kind in below}
+    for i, v in enumerate(sides[0].values()):
+        line.append(i)  # before the first child
+        for x in a.kids[v]:
+            if (kind := a.kinds[x]) in below:
+                place[kind].append(len(line))
+                which[kind].append(columns[below[kind]][shape[0][x]])
+                line.append(i)
+        ends.append(len(line) - 1)
+    at, of = ({kind: np.array(x) for kind, x in d.items()} for d in (place, which))
+    start = np.array(line) * len(a.kinds)  # a later node's values are above those of all before it
+    for j, w in enumerate(sides[1].values()):
+        best = start.copy()
+        for y in b.kids[w]:
+            if (kind := b.kinds[y]) in below:
+                k, i = below[kind], at[kind]
+                best[i] = np.maximum(best[i], best[i - 1] + weight[k][rows[k][shape[1][y]]][of[kind]])
+                np.maximum.accumulate(best, out=best)
+        weight[g][j] = (best - start)[ends] + 1
+
+
+def _heaviest(left: list[int], n: int, gain: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
+    """The heaviest matching of children with n others that keeps both orders; gain has a child's weights. Every so many lines are kept, those between computed again."""
+
+    def lines(line: np.ndarray, part: list[int]) -> list[np.ndarray]:
+        out = [line]
+        for x in part:
+            line = line.copy()
+            line[1:] = np.maximum(line[1:], line[:-1] + gain(x))
+            np.maximum.accumulate(line, out=line)
+            out.append(line)
+        return out
+
+    if len(left) == n == 1:
+        return [(left[0], 0)]
+    step = isqrt(len(left)) + 64
+    parts = [left[i : i + step] for i in range(0, len(left), step)]
+    kept = [np.zeros(n + 1, np.int64)]
+    for part in parts[:-1]:
+        kept.append(lines(kept[-1], part)[-1])
+    out, j = [], n
+    for part, line in zip(reversed(parts), reversed(kept), strict=False):
+        best, i = lines(line, part), len(part)
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((part[i], j))
     return out[::-1]
 
 
@@ -466,16 +504,29 @@ def content(tree: Tree, stats: list[list]) -> dict[int, tuple[bool, bool]]:
         texts = [words[x] for x in _below(tree, v) if full[x]]
         return len(texts) > 1 and 4 * min(texts) <= sum(texts)
 
+    def alike(group: list[int]) -> float:
+        """The words in those of some nodes that are short signed blocks of one kind without headings that come several times; 0 if others do too."""
+        group = [x for x in group if names[x] not in PARAGRAPH and names[x] not in LIST and tree.kids[x]]
+        count: Counter = Counter()
+        for x in group:
+            count[tree.kinds[x]] += max(1, stats[x][TIMES])
+        group = [x for x in group if count[tree.kinds[x]] > 1]
+        inside = sum(all_words[x] for x in group)
+        if all(signed(x) for x in group) and not any(heads[x] for x in group) and inside < 80 * sum(count[k] for k in {tree.kinds[x] for x in group}):
+            return inside
+        return 0.0
+
+    kin: dict[int, dict[str, float]] = {}  # by parent and kind
+
     def records(v: int) -> bool:
-        """Short signed blocks of one kind without headings that come several times on a page: a node and its like, or most of what it holds."""
-        for group in ([x for x in tree.kids[tree.parents[v]] if tree.kinds[x] == tree.kinds[v]], tree.kids[v]):
-            group = [x for x in group if names[x] not in PARAGRAPH and names[x] not in LIST and tree.kids[x]]
-            count = Counter(tree.kinds[x] for x in group for _ in range(max(1, stats[x][TIMES])))
-            group = [x for x in group if count[tree.kinds[x]] > 1]
-            inside = sum(all_words[x] for x in group)
-            if group and all(signed(x) for x in group) and not any(heads[x] for x in group) and inside < 80 * sum(count[k] for k in {tree.kinds[x] for x in group}) and 2 * inside > all_words[v]:
-                return True
-        return False
+        """Records: a node and its like, or most of what it holds."""
+        p = tree.parents[v]
+        if p not in kin:
+            kinds: dict[str, list[int]] = {}
+            for x in tree.kids[p]:
+                kinds.setdefault(tree.kinds[x], []).append(x)
+            kin[p] = {kind: alike(group) for kind, group in kinds.items()}
+        return 2 * max(kin[p][tree.kinds[v]], alike(tree.kids[v])) > all_words[v]
 
     beside: list[int] = []
     if not explicit or names[main] != "main":
